@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .collapse_copies import collapse_copies, copy_members
 from .distinctive_terms import distinctive_terms
-from .tables import posts, table
+from .personal_info import mask_personal, personal_mentions
+from .tables import one_delivery, posts, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,16 @@ def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("rid", "term", F.round("score", 6).alias("score"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mentions = personal_mentions(posts(spark, sf_dir), table(spark, sf_dir, "name_list"))
+    return mentions.select("rid", "kind", "start_pos").distinct()
+
+
+def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = one_delivery(posts(spark, sf_dir), "rid", "post")
+    return mask_personal(texts, table(spark, sf_dir, "name_list"), table(spark, sf_dir, "pii_types"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = copy_members(table(spark, sf_dir, "political_leaning"))
     return members.select(F.col("first").alias("rid_first"), F.col("copy").alias("rid_copy"))
@@ -30,7 +41,14 @@ def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("first").alias("rid_first"), "author", "text", "copies")
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_scores": p1_scores,
+    "p2_found": p2_found,
+    "p2_masked": p2_masked,
+    "p6_found": p6_found,
+    "p6_collapsed": p6_collapsed,
+}
 
 _TERMS = """
 WITH once AS (SELECT rid, max(post) AS post FROM political_leaning WHERE rid IS NOT NULL GROUP BY rid),
