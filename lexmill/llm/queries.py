@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .collapse_copies import collapse_copies, copy_members
 from .distinctive_terms import distinctive_terms
+from .markup import clean_markup, markup_kinds
 from .personal_info import mask_personal, personal_mentions
 from .tables import one_delivery, posts, table
+from .text_quality import line_labels, text_statistics
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,14 @@ def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask_personal(texts, table(spark, sf_dir, "name_list"), table(spark, sf_dir, "pii_types"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup_kinds(posts(spark, sf_dir)).distinct()
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_markup(one_delivery(posts(spark, sf_dir), "rid", "post"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = copy_members(table(spark, sf_dir, "political_leaning"))
     return members.select(F.col("first").alias("rid_first"), F.col("copy").alias("rid_copy"))
@@ -41,13 +51,28 @@ def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("first").alias("rid_first"), "author", "text", "copies")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = line_labels(posts(spark, sf_dir), table(spark, sf_dir, "common_words"))
+    return labels.where(F.col("kind") != "prose").select("rid", "kind").distinct()
+
+
+def p7_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = text_statistics(one_delivery(posts(spark, sf_dir), "rid", "post"), table(spark, sf_dir, "common_words"))
+    ratios = ("mean_word_len", "symbol_ratio", "end_punct_share", "common_share", "distinct_share")
+    return stats.withColumns({c: F.round(c, 6) for c in ratios})
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_scores": p1_scores,
     "p2_found": p2_found,
     "p2_masked": p2_masked,
+    "p5_found": p5_found,
+    "p5_clean": p5_clean,
     "p6_found": p6_found,
     "p6_collapsed": p6_collapsed,
+    "p7_found": p7_found,
+    "p7_stats": p7_stats,
 }
 
 _TERMS = """
@@ -68,7 +93,31 @@ groups AS (
   WHERE author <> '' AND text <> '' GROUP BY author, text, fields)
 """
 
+_POSTS = """
+WITH posts AS (
+  SELECT rid, max(post) AS post FROM (
+    SELECT rid, post FROM political_leaning UNION ALL SELECT rid, post FROM birth_year UNION ALL SELECT rid, post FROM nationality)
+  WHERE rid IS NOT NULL GROUP BY rid)
+"""
+
+_STATS = _POSTS + """,
+parts AS (
+  SELECT rid, coalesce(post, '') AS t,
+    list_filter(string_split_regex(lower(coalesce(post, '')), '[^\\p{L}]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(coalesce(post, ''), chr(10)), lambda x: regexp_matches(x, '\\S')) AS l FROM posts),
+known AS (SELECT list(DISTINCT lower(word)) AS words FROM common_words)
+SELECT rid, length(t) AS n_chars, len(w) AS n_words,
+  round(coalesce(length(array_to_string(w, ''))::DOUBLE / nullif(len(w), 0), 0), 6) AS mean_word_len,
+  round(coalesce(length(regexp_replace(t, '[\\p{L}\\p{Nd}\\s]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(t, '\\s', '', 'g')), 0), 0), 6) AS symbol_ratio,
+  len(l) AS n_lines,
+  round(coalesce(len(list_filter(l, lambda s: regexp_matches(s, '[.!?…]\\s*$')))::DOUBLE / nullif(len(l), 0), 0), 6) AS end_punct_share,
+  round(coalesce(len(list_filter(w, lambda s: list_contains(words, s)))::DOUBLE / nullif(len(w), 0), 0), 6) AS common_share,
+  round(coalesce(len(list_distinct(w))::DOUBLE / nullif(len(w), 0), 0), 6) AS distinct_share
+FROM parts, known
+"""
+
 ORACLE_SQL = {
+    "p7_stats": _STATS,
     "p1_found": _TERMS + "SELECT rid, term FROM scored WHERE length(term) >= 7 AND tf >= 3 AND df BETWEEN 3 AND 12",
     "p1_scores": _TERMS + "SELECT rid, term, round(score, 6) AS score FROM scored",
     "p6_found": _COPIES
