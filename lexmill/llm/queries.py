@@ -9,6 +9,7 @@ from .collapse_copies import collapse_copies, copy_members
 from .distinctive_terms import distinctive_terms
 from .markup import clean_markup, markup_kinds
 from .personal_info import mask_personal, personal_mentions
+from .reading_level import reading_levels
 from .tables import one_delivery, posts, table
 from .text_quality import line_labels, text_statistics
 
@@ -33,6 +34,17 @@ def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask_personal(texts, table(spark, sf_dir, "name_list"), table(spark, sf_dir, "pii_types"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = reading_levels(posts(spark, sf_dir), table(spark, sf_dir, "reading_samples"))
+    return levels.where(F.col("level") >= 5).select("rid").distinct()
+
+
+def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = one_delivery(posts(spark, sf_dir), "rid", "post")
+    levels = reading_levels(texts, table(spark, sf_dir, "reading_samples"))
+    return levels.groupBy("level").agg(F.count(F.lit(1)).alias("n_posts"), F.round(F.avg("mark"), 4).alias("mean_mark"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup_kinds(posts(spark, sf_dir)).distinct()
 
@@ -67,6 +79,8 @@ QUERIES = {
     "p1_scores": p1_scores,
     "p2_found": p2_found,
     "p2_masked": p2_masked,
+    "p4_found": p4_found,
+    "p4_profile": p4_profile,
     "p5_found": p5_found,
     "p5_clean": p5_clean,
     "p6_found": p6_found,
