@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from .collapse_copies import collapse_copies, copy_members
 from .distinctive_terms import distinctive_terms
 from .markup import clean_markup, markup_kinds
+from .mixing import mix, mix_report
 from .personal_info import mask_personal, personal_mentions
 from .reading_level import reading_levels
 from .tables import one_delivery, posts, table
 from .text_quality import line_labels, text_statistics
+from .tokenize import count_tokens, encode_texts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +76,23 @@ def p7_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.withColumns({c: F.round(c, 6) for c in ratios})
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"))
+
+
+def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(table(spark, sf_dir, "documents"), "doc_id", "source")
+    return counted.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_scores": p1_scores,
@@ -87,6 +106,10 @@ QUERIES = {
     "p6_collapsed": p6_collapsed,
     "p7_found": p7_found,
     "p7_stats": p7_stats,
+    "p8_ids": p8_ids,
+    "p8_counts": p8_counts,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
 }
 
 _TERMS = """
