@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .collapse_copies import collapse_copies, copy_members
 from .distinctive_terms import distinctive_terms
+from .languages import document_languages, language_segments
 from .markup import clean_markup, markup_kinds
 from .mixing import mix, mix_report
 from .personal_info import mask_personal, personal_mentions
@@ -93,6 +94,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = document_languages(table(spark, sf_dir, "documents"))
+    wrong = F.col("label_lang").isNull() | (F.col("label_lang") != F.col("lang")) | (F.col("n_languages") > 1)
+    return found.where(wrong).select("doc_id", "lang").distinct()
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_segments(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_scores": p1_scores,
@@ -110,6 +121,8 @@ QUERIES = {
     "p8_counts": p8_counts,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_segments": p10_segments,
 }
 
 _TERMS = """
