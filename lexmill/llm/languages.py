@@ -59,7 +59,8 @@ def label_language(label: Column) -> Column:
     """The two-letter code a label names in whatever spelling, null if none of the known languages."""
     plain = F.lower(F.regexp_replace(label, r"^\s+|\s+$", ""))
     base = F.regexp_replace(plain, r"[-_ (].*$", "")
-    return F.coalesce(*(F.when(plain.isin(*n) | base.isin(*n), F.lit(c)) for c, n in NAMES.items()))
+    codes = F.create_map(*(F.lit(x) for c, names in NAMES.items() for n in names for x in (n, c)))
+    return F.coalesce(F.try_element_at(codes, plain), F.try_element_at(codes, base))
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -236,7 +237,10 @@ def labelled_sample(docs: DataFrame, key: str, text: str, label: str, per_langua
     named = docs.select(key, F.col(text).alias("t"), label_language(F.col(label)).alias("code")).where("code is not null and t is not null")
     counts = {r[0]: r[1] for r in named.groupBy("code").count().collect()}
     draw = (F.xxhash64(F.col(key).cast("string")) / F.lit(2.0**64) + 0.5).alias("draw")
-    share = F.coalesce(*(F.when(F.col("code") == c, F.lit(min(1.0, per_language / n))) for c, n in sorted(counts.items())), F.lit(0.0))
+    if not counts:
+        return []
+    shares = F.create_map(*(F.lit(x) for c, n in sorted(counts.items()) for x in (c, min(1.0, per_language / n))))
+    share = F.try_element_at(shares, F.col("code"))
     return [(r[0], r[1]) for r in named.where(draw < share).orderBy(draw).limit(2 * per_language * len(LANGUAGES)).select("t", "code").collect()]
 
 
