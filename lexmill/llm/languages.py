@@ -50,6 +50,7 @@ LEAST_LETTERS, LEAST_SCORE, CHANGE = 4, 0.2, 3.0
 TEXT_LETTERS = 10
 
 _GONE = re.compile(r"https?://\S+|www\.\S+|\S+@\S+|<[^<>]{1,200}>|&[a-z]{2,8};|\[\[|\]\]|\{\{[^{}]*\}\}|\\[a-zA-Z]+|`[^`\n]*`|[@#]\w+")
+_SIGN = re.compile(r"[@#<&{\[\\`/]|www")
 _SENTENCE = re.compile(r"[^.!?…\n]+(?:[.!?…]+[\"”»’)]*(?=\s|$)|[.!?…]+(?=\S)[^.!?…\n]*)*[.!?…]*[\"”»’)]*\n?|[.!?…\n]+")
 _WHOLE = re.compile(r"[^|<>]*\w\s[^|<>]*\w[\"”»’)]*[.!?…]+[\"”»’)]*\s*$|[^|<>{}=]*$")
 _NON_LETTER = re.compile(r"[\W\d_]+")
@@ -70,7 +71,9 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def letters(text: str) -> str:
     """A sentence as the kernel sees it: lower-case words with a space around each."""
-    return " " + _NON_LETTER.sub(" ", unicodedata.normalize("NFC", _GONE.sub(" ", text).lower())).strip() + " "
+    if _SIGN.search(text):
+        text = _GONE.sub(" ", text)
+    return " " + _NON_LETTER.sub(" ", unicodedata.normalize("NFC", text.lower())).strip() + " "
 
 
 def whole(text: str) -> bool:
@@ -79,23 +82,24 @@ def whole(text: str) -> bool:
 
 
 def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(ends, buckets): the buckets of the n-grams present in each text, each once."""
+    """(ends, buckets): the buckets of the n-grams present in each text, each once. At most 65536 texts."""
     buffer = "".join(texts)
-    codes = np.frombuffer(buffer.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in texts])
-    keys = []
-    for n in LENGTHS:
+    codes = np.frombuffer(buffer.encode("utf-32-le"), np.uint32)
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint32), [len(t) for t in texts])
+    keys, rolled = [], np.full(len(codes), 0x811C9DC5, np.uint32)
+    for n in range(1, max(LENGTHS) + 1):
         if len(codes) < n:
-            continue
-        h = np.full(len(codes) - n + 1, n, np.uint64)
-        for k in range(n):
-            h = (h * np.uint64(0x100000001B3)) ^ codes[k : len(codes) - n + 1 + k]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        first = owner[: len(codes) - n + 1]
-        keys.append((first * BUCKETS + (h >> np.uint64(48)).astype(np.int64))[first == owner[n - 1 :]])
-    found = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
-    return np.concatenate(([0], np.cumsum(np.bincount(found // BUCKETS, minlength=len(texts))))), found % BUCKETS
+            break
+        rolled = (rolled[: len(codes) - n + 1] * np.uint32(0x01000193)) ^ (codes[n - 1 :] * np.uint32(0x9E3779B1))
+        if n in LENGTHS:
+            first = owner[: len(codes) - n + 1]
+            mixed = (rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+            keys.append(((first << np.uint32(16)) | (mixed >> np.uint32(16)))[first == owner[n - 1 :]])
+    found = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.uint32)
+    if len(found):
+        found = found[np.concatenate(([True], found[1:] != found[:-1]))]
+    size = np.bincount(found >> np.uint32(16), minlength=len(texts))
+    return np.concatenate(([0], np.cumsum(size))), (found & np.uint32(BUCKETS - 1)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -108,10 +112,11 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         """Regression scores, a row per text and a column per language."""
         out = np.zeros((len(texts), len(LANGUAGES)), np.float32)
-        for at in range(0, len(texts), 2000):
-            ends, found = presence(texts[at : at + 2000])
-            total = np.concatenate((np.zeros((1, len(LANGUAGES))), np.cumsum(self.weights[found], 0, dtype=np.float64)))
-            out[at : at + 2000] = np.diff(total[ends], axis=0) / np.sqrt(np.maximum(np.diff(ends), 1))[:, None]
+        for at in range(0, len(texts), 1000):
+            ends, found = presence(texts[at : at + 1000])
+            held = np.flatnonzero(np.diff(ends))  # reduceat has no empty runs
+            if len(held):
+                out[at + held] = np.add.reduceat(self.weights[found], ends[held], axis=0) / np.sqrt(np.diff(ends)[held])[:, None]
         return out
 
 
