@@ -208,16 +208,21 @@ def _roots(segments: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _keyed(rooted: DataFrame, key: str) -> DataFrame:
     """`rooted` with the root of each feed's key field replaced by `key`. A feed that never names its key
-    so has it under the name whose numbers are found the most among the keys of the other feeds."""
+    so has it under the name whose numbers are the likest to the other feeds' keys: by the share found
+    among them, then by magnitude (different feeds may share no author)."""
     held = rooted.where("p is not null").groupBy("feed_id", "root").agg(
-        F.expr("theta_union_agg(p.sketch, 9)").alias("s"), F.avg("p.numbers").alias("numbers"), F.max("p.width").alias("width"), F.max("p.dates").alias("dates")
-    )
+        F.expr("theta_union_agg(p.sketch, 9)").alias("s"), F.min("p.numbers").alias("numbers"), F.max("p.width").alias("width"),
+        F.max("p.dates").alias("dates"), F.min("p.bottom").alias("bottom"), F.max("p.top").alias("top"), F.max(F.col("p.yes_no").cast("int")).alias("flag"),
+    )
     named = held.where(F.col("root") == key)
-    keys = named.agg(F.expr("theta_union_agg(s, 9)").alias("keys"))
-    others = held.join(named.select("feed_id"), "feed_id", "left_anti").where("numbers >= 0.9 and width <= 20 and dates < 0.9")
+    keys = named.agg(F.expr("theta_union_agg(s, 9)").alias("keys"), F.median("top").alias("size"))
+    numeric = "numbers >= 0.9 and width <= 20 and dates < 0.9 and flag = 0 and top > 1 and not (bottom >= 1900 and top <= 2030)"
+    others = held.join(named.select("feed_id"), "feed_id", "left_anti").where(numeric)
     share = F.expr("theta_sketch_estimate(theta_intersection(s, keys)) / greatest(theta_sketch_estimate(s), 1)")
-    scored = others.withColumn("keys", keys.scalar()).where("keys is not null").withColumn("share", share).where(F.col("share") >= SAME)
-    best = scored.groupBy("feed_id").agg(F.max_by("root", F.struct("share", "root")).alias("key_root"))
+    size = F.exp(-F.abs(F.log1p("top") - F.log1p("size")))
+    scored = others.withColumns({"keys": keys.select("keys").scalar(), "size": keys.select("size").scalar()}).where("keys is not null")
+    scored = scored.withColumn("alike", 2 * share + size).where(F.col("alike") >= 2 * SAME)
+    best = scored.groupBy("feed_id").agg(F.max_by("root", F.struct("alike", "root")).alias("key_root"))
     return rooted.join(best, "feed_id", "left").withColumn("root", F.when(F.col("root") == F.col("key_root"), F.lit(key)).otherwise(F.col("root"))).drop("key_root")
 
 
@@ -240,16 +245,20 @@ def one_table(files: DataFrame, rows: DataFrame, key: str = "author_ID") -> Data
         raise ValueError(f"the table would have more than {MAX_FIELDS} columns")
     layout = rooted.groupBy("feed_id", "file_id").agg(F.map_from_entries(F.collect_list(F.struct("root", "pos"))).alias("place"))
     cells = rows.select("file_id", "row_no", _cells(F.col("record"), n).alias("v")).join(layout, "file_id")
-    taken = {"feed_id", "file_id", "row_no"}
+    # Spark's names ignore case: roots that differ in case alone share a column, each file having one of them
+    spelled: dict[str, list[str]] = {}
+    for root in sorted(types):
+        spelled.setdefault(root.lower(), []).append(root)
 
-    def column(root: str) -> Column:
-        raw = F.trim(F.try_element_at(F.col("v"), F.try_element_at("place", F.lit(root)) + 1))
+    def column(roots: list[str]) -> Column:
+        raw = F.coalesce(*(F.trim(F.try_element_at(F.col("v"), F.try_element_at("place", F.lit(r)) + 1)) for r in roots))
         value = F.when(~raw.isin(*MISSING), raw)
-        if root == key:
+        if key in roots:
             return F.regexp_extract(value, r"(\d+)(?:\.0*)?\D*$", 1).try_cast("bigint").alias(key)
-        kinds = types[root]
+        kinds = set().union(*(types[r] for r in roots))
         kind = next(iter(kinds)) if len(kinds) == 1 else "decimal" if kinds and kinds <= {"integer", "decimal"} else "text"
-        return value.try_cast(TYPES[kind]).alias(root if root not in taken else f"{root}_")
+        name = roots[-1]
+        return value.try_cast(TYPES[kind]).alias(f"{name}_" if name.lower() in ("feed_id", "file_id", "row_no") else name)
 
-    order = [key] * (key in types) + sorted(r for r in types if r != key)
-    return cells.select("feed_id", "file_id", "row_no", *(column(r) for r in order))
+    own = spelled.pop(key.lower(), None)
+    return cells.select("feed_id", "file_id", "row_no", *(column(r) for r in [own] * bool(own) + [spelled[k] for k in sorted(spelled)]))
