@@ -12,7 +12,7 @@ from .markup import clean_markup, markup_kinds
 from .mixing import mix, mix_report
 from .personal_info import mask_personal, personal_mentions
 from .reading_level import reading_levels
-from .tables import one_delivery, posts, table
+from .tables import documents, one_delivery, posts, table
 from .text_quality import line_labels, text_statistics
 from .tokenize import count_tokens, encode_texts
 
@@ -78,16 +78,16 @@ def p7_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(table(spark, sf_dir, "documents"))
+    return encode_texts(documents(spark, sf_dir))
 
 
 def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = count_tokens(table(spark, sf_dir, "documents"), "doc_id", "source")
+    counted = count_tokens(documents(spark, sf_dir), "doc_id", "source")
     return counted.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mix(documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,13 +95,13 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = document_languages(table(spark, sf_dir, "documents"))
+    found = document_languages(documents(spark, sf_dir))
     wrong = F.col("label_lang").isNull() | (F.col("label_lang") != F.col("lang")) | (F.col("n_languages") > 1)
     return found.where(wrong).select("doc_id", "lang").distinct()
 
 
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_segments(table(spark, sf_dir, "documents"))
+    return language_segments(documents(spark, sf_dir))
 
 
 QUERIES = {

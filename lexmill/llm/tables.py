@@ -7,17 +7,19 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DATASETS = ("political_leaning", "birth_year", "nationality")
-
+from lexmill.sources.tables import spread, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+DATASETS = ("political_leaning", "birth_year", "nationality")
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rid, post) of the three datasets, every delivery. A record delivered twice is here twice;
     operators that report per record drop repeats from their (much smaller) results."""
-    return reduce(DataFrame.unionByName, (table(spark, sf_dir, n).select("rid", "post") for n in DATASETS))
+    return spread(reduce(DataFrame.unionByName, (table(spark, sf_dir, n).select("rid", "post") for n in DATASETS)))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def one_delivery(records: DataFrame, key: str, *columns: str) -> DataFrame:
