@@ -11,9 +11,12 @@ from pyspark.sql.types import StringType
 
 # The patterns that decide what is a token, a tag, an address and so on.
 NON_WORD = r"[^\p{L}\p{N}_]+"
-SPACES = r"(?U)[\s\x1c-\x1f]+"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Plain classes of those characters: Java's own Unicode classes ask for a property of every character.
+SPACE, NO_SPACE = f"[{WHITE}]", f"[^{WHITE}]"
+SPACES = SPACE + "+"
 TAG = r"<[^>]+>"
-LINK = r"(?U)https?://\S+|www\.\S+"
+LINK = rf"https?://{NO_SPACE}+|www\.{NO_SPACE}+"
 LINK_STRICT = r"(?:https?://|www\.)[$-_a-z!]+"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 MENTION, HASHTAG = r"(?U)@\w+", r"(?U)#(\w+)"
@@ -27,7 +30,7 @@ def full(text: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def tokens(text: Column, least: int = 2) -> Column:
@@ -36,7 +39,7 @@ def tokens(text: Column, least: int = 2) -> Column:
 
 
 def squeeze_spaces(text: Column) -> Column:
-    return stripped(F.regexp_replace(text, SPACES, " "))
+    return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
 def clean(text: Column) -> Column:
@@ -81,7 +84,7 @@ class Cleaner:
             out = F.regexp_replace(out, REPEATS, "$1$1")
         if self.lowercase:
             out = F.lower(out)
-        return F.when(raw.rlike(r"(?U)\S"), squeeze_spaces(out)).otherwise("")
+        return F.when(raw.rlike(NO_SPACE), squeeze_spaces(out)).otherwise("")
 
 
 def language_guess(text: Column) -> Column:
@@ -93,7 +96,7 @@ def language_guess(text: Column) -> Column:
 
 
 def sentence_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(full(text), SENTENCE_END), lambda s: s.rlike(r"(?U)\S")))
+    return F.size(F.filter(F.split(full(text), SENTENCE_END), lambda s: s.rlike(NO_SPACE)))
 
 
 def syllables(word: Column) -> Column:

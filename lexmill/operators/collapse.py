@@ -14,7 +14,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import full, stripped
+from lexmill.functions.text import WHITE, full, stripped
+from lexmill.session import cut
 from lexmill.sources.datasets import initials
 
 from .corpora import running_total
@@ -46,10 +47,17 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _holders(datasets: dict[str, DataFrame]) -> DataFrame:
+    """(entity, held): the names of the datasets each entity is in, so one aggregation serves all pairs."""
+    keys = _all([df.where("entity is not null").select("entity", F.lit(n).alias("name")) for n, df in datasets.items()])
+    return keys.groupBy("entity").agg(F.collect_set("name").alias("held"))
+
+
 def entity_pairs(datasets: dict[str, DataFrame]) -> DataFrame:
     """(corpus, df1, df2, entity): the entities each two datasets share."""
-    keys = {n: df.select("entity").where("entity is not null").distinct() for n, df in datasets.items()}
-    return _all([keys[a].join(keys[b], "entity").select(F.lit(c).alias("corpus"), F.lit(a).alias("df1"), F.lit(b).alias("df2"), "entity") for c, a, b in pairs_of(list(datasets))])
+    every = F.array(*(F.struct(F.lit(c).alias("corpus"), F.lit(a).alias("df1"), F.lit(b).alias("df2")) for c, a, b in pairs_of(list(datasets))))
+    met = F.filter(every, lambda p: F.array_contains("held", p["df1"]) & F.array_contains("held", p["df2"]))
+    return _holders(datasets).select("entity", F.explode(met).alias("p")).select("p.corpus", "p.df1", "p.df2", "entity")
 
 
 def merged_fields(datasets: dict[str, DataFrame]) -> DataFrame:
@@ -70,14 +78,17 @@ def merged_fields(datasets: dict[str, DataFrame]) -> DataFrame:
 def merged_posts(datasets: dict[str, DataFrame]) -> DataFrame:
     """(corpus, entity, ord, post): the distinct posts of every shared entity, those of the first dataset
     before those of the second, each side by first occurrence; `ord` gives that order."""
+    span = (_all([df.select("rid") for df in datasets.values()]).agg(F.max("rid")).first()[0] or 0) + 1
+    pairs = pairs_of(list(datasets))
     parts = []
-    for label, a, b in pairs_of(list(datasets)):
-        shared = datasets[a].select("entity").distinct().join(datasets[b].select("entity").distinct(), "entity")
-        span = max(df.agg(F.max("rid")).first()[0] or 0 for df in (datasets[a], datasets[b])) + 1
-        for side, name in ((0, a), (1, b)):
-            own = datasets[name].where("post is not null").join(shared, "entity")
-            parts.append(own.select(F.lit(label).alias("corpus"), "entity", (F.lit(side * span) + F.col("rid")).alias("ord"), "post"))
-    return _all(parts).groupBy("corpus", "entity", "post").agg(F.min("ord").alias("ord")).select("corpus", "entity", "ord", "post")
+    for name, df in datasets.items():
+        sides = [(c, 0, b) if a == name else (c, 1, a) for c, a, b in pairs if name in (a, b)]
+        own = F.array(*(F.struct(F.lit(c).alias("corpus"), F.lit(side * span).alias("base"), F.lit(other).alias("other")) for c, side, other in sides))
+        parts.append(df.where("post is not null").select("entity", "rid", "post", own.alias("sides")))
+    met = F.filter("sides", lambda p: F.array_contains("held", p["other"]))
+    placed = _all(parts).join(_holders(datasets), "entity").select("entity", "rid", "post", F.explode(met).alias("p"))
+    ordered = placed.groupBy("p.corpus", "entity", "post").agg(F.min(F.col("p.base") + F.col("rid")).alias("ord"))
+    return ordered.select("corpus", "entity", "ord", "post")
 
 
 def extracted_texts(posts: DataFrame) -> DataFrame:
@@ -87,18 +98,24 @@ def extracted_texts(posts: DataFrame) -> DataFrame:
     The texts themselves are never built: where each post would stand follows from the lengths before
     it, a text's ends from its outermost visible characters, and equal texts have equal sets of
     (place, post) digests."""
-    t = full(F.col("post"))
-    placed = running_total(posts.withColumn("size", F.length(t).cast("bigint") + 1), ["corpus", "entity"], "ord", F.col("size"), "off")
-    visible = placed.withColumn("bare", stripped(t)).withColumn("lead", F.length(t) - F.length(F.regexp_replace(t, r"(?U)^[\s\x1c-\x1f]+", "")))
-    visible = visible.withColumn("begin", F.col("off") + F.col("lead")).withColumn("end", F.col("begin") + F.length("bare"))
-    seen = F.col("bare") != ""
-    spans = visible.groupBy("corpus", "entity").agg(
+    # what is needed of a post, before anything is shuffled: its length, its margins and its digests
+    t, bare = full(F.col("post")), stripped(full(F.col("post")))
+    lead = F.length(t) - F.length(F.ltrim(t, F.lit(WHITE)))
+    marks = posts.select(
+        "corpus", "entity", "ord", (F.length(t) + 1).cast("bigint").alias("size"), lead.alias("lead"), F.length(bare).alias("bare"),
+        F.xxhash64(F.lit(1), bare).alias("d1"), F.xxhash64(F.lit(2), bare).alias("d2"),
+    )
+    marks = cut(marks)  # narrow, and read several times below
+    placed = running_total(marks, ["corpus", "entity"], "ord", F.col("size"), "off")
+    placed = placed.withColumn("begin", F.col("off") + F.col("lead")).withColumn("end", F.col("begin") + F.col("bare"))
+    seen = F.col("bare") > 0
+    spans = placed.groupBy("corpus", "entity").agg(
         F.count(F.lit(1)).alias("n_posts"), F.min(F.when(seen, F.col("begin"))).alias("start"), F.max(F.when(seen, F.col("end"))).alias("stop")
     )
     long = spans.where(F.col("stop") - F.col("start") > LEAST_CHARS)
-    marks = visible.where(seen).join(long, ["corpus", "entity"]).withColumn("at", F.col("begin") - F.col("start"))
-    digests = marks.groupBy("corpus", "entity", "n_posts", (F.col("stop") - F.col("start")).alias("n_chars")).agg(
-        F.bit_xor(F.xxhash64(F.lit(1), "at", "bare")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(2), "at", "bare")).alias("h2")
+    visible = placed.where(seen).join(long, ["corpus", "entity"]).withColumn("at", F.col("begin") - F.col("start"))
+    digests = visible.groupBy("corpus", "entity", "n_posts", (F.col("stop") - F.col("start")).alias("n_chars")).agg(
+        F.bit_xor(F.xxhash64("at", "d1")).alias("h1"), F.bit_xor(F.xxhash64("at", "d2")).alias("h2")
     )
     first = digests.groupBy("corpus", "n_chars", "h1", "h2").agg(F.min_by(F.struct("entity", "n_posts"), "entity").alias("e"))
     return first.select("corpus", "e.entity", "e.n_posts", "n_chars")

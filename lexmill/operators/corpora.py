@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import full, tokens
+from lexmill.session import cut
 
 #: Ranges a column of order is put in.
 RANGES = 1024
@@ -56,7 +57,8 @@ def running_total(df: DataFrame, group: list[str], order: str, size: Column, nam
 def positions(docs: DataFrame, least: int = 2) -> DataFrame:
     """(corpus, gpos, tok): every token with its place in its corpus, documents in order."""
     held = docs.select("corpus", "doc_ord", tokens(F.col("text"), least).alias("toks"))
-    offsets = running_total(held.select("corpus", "doc_ord", F.size("toks").alias("n")), ["corpus"], "doc_ord", F.col("n").cast("bigint"), "offset")
+    counted = cut(held.select("corpus", "doc_ord", F.size("toks").cast("bigint").alias("n")))
+    offsets = running_total(counted, ["corpus"], "doc_ord", F.col("n"), "offset")
     placed = held.join(offsets.select("corpus", "doc_ord", "offset"), ["corpus", "doc_ord"])
     return placed.select("corpus", "offset", F.posexplode("toks").alias("pos", "tok")).select("corpus", (F.col("offset") + F.col("pos")).alias("gpos"), "tok")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from lexmill.operators import sequence as M
 from lexmill.operators import similarity as X
 from lexmill.operators.schema_drift import one_table, schema_changes
 from lexmill.sources.datasets import read_all
-from lexmill.sources.tables import table
+from lexmill.sources.tables import spread, table
 
 from .oracles import ORACLE_SQL
 
@@ -39,7 +40,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str, corpus: str = "corpus") -> DataFrame:
-    return B.documents(table(spark, sf_dir, "documents"), corpus, "doc_id", "text")
+    return spread(B.documents(table(spark, sf_dir, "documents"), corpus, "doc_id", "text"))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def freq(spark: SparkSession, sf_dir: str, corpus: str = "corpus", least: int = 2) -> DataFrame:
@@ -47,11 +52,14 @@ def freq(spark: SparkSession, sf_dir: str, corpus: str = "corpus", least: int =
 
 
 def pos(spark: SparkSession, sf_dir: str, corpus: str = "corpus") -> DataFrame:
-    return B.positions(docs(spark, sf_dir, corpus))
+    """Positions, kept while a query goes over them several times (on disk where memory is short; lost
+    parts are made again)."""
+    return B.positions(docs(spark, sf_dir, corpus)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def datasets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return read_all(spark, DATASETS, lambda n: table(spark, sf_dir, n))
+    """The datasets, one row per record, kept as every pair reads them again."""
+    return {n: df.persist(StorageLevel.MEMORY_AND_DISK) for n, df in read_all(spark, DATASETS, lambda n: table(spark, sf_dir, n)).items()}
 
 
 # corpora: size, diversity, information
@@ -120,27 +128,27 @@ def vocabulary_richness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def clean_text_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("cleaned"))
+    return texts(spark, sf_dir).select("doc_id", T.clean(F.col("text")).alias("cleaned"))
 
 
 @query
 def text_cleaner_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.Cleaner()(F.col("text")).alias("cleaned"))
+    return texts(spark, sf_dir).select("doc_id", T.Cleaner()(F.col("text")).alias("cleaned"))
 
 
 @query
 def text_cleaner_no_squeeze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.Cleaner(ascii=False, repeats=False, hashtags=True)(F.col("text")).alias("cleaned"))
+    return texts(spark, sf_dir).select("doc_id", T.Cleaner(ascii=False, repeats=False, hashtags=True)(F.col("text")).alias("cleaned"))
 
 
 @query
 def language_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.language_guess(F.col("text")).alias("guess"))
+    return texts(spark, sf_dir).select("doc_id", T.language_guess(F.col("text")).alias("guess"))
 
 
 @query
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.sentence_count(F.col("text")).cast("bigint").alias("n_sentences"))
+    return texts(spark, sf_dir).select("doc_id", T.sentence_count(F.col("text")).cast("bigint").alias("n_sentences"))
 
 
 @query
@@ -151,7 +159,7 @@ def syllable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cleaning_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.cleaning_stats(table(spark, sf_dir, "documents"), F.col("text"), T.clean(F.col("text"))))
+    return rounded(D.cleaning_stats(texts(spark, sf_dir), F.col("text"), T.clean(F.col("text"))))
 
 
 # documents
@@ -159,17 +167,17 @@ def cleaning_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def doc_stats_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.fast_stats(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return rounded(D.fast_stats(texts(spark, sf_dir), "doc_id", "text"))
 
 
 @query
 def doc_stats_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.full_stats(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return rounded(D.full_stats(texts(spark, sf_dir), "doc_id", "text"))
 
 
 @query
 def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = D.full_stats(table(spark, sf_dir, "documents"), "doc_id", "text", least=4)
+    stats = D.full_stats(texts(spark, sf_dir), "doc_id", "text", least=4)
     return rounded(stats.select("doc_id", "token_count", "flesch_reading_ease", "ari", "avg_sentence_length"))
 
 
