@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from .arrow import map_texts
 
-#: A region with fewer words is no readable text.
+#: A text with fewer words is no readable text.
 LEAST_WORDS = 3
 
 # Element names of HTML, and commands of LaTeX that take no argument in braces.
@@ -75,6 +75,7 @@ _SIGN = re.compile(r"[<&`*_#\[{\\$|~>]|==|''")
 _KIND = {"html": "html", "md": "markdown", "wiki": "wiki", "tex": "latex"}
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _BLOCKS = re.compile(r"</?(?:p|div|ul|ol|table|tr|blockquote|section|article|header|footer|nav|form|body|html|head|h[1-6]|li|dl|dt|dd|br|hr)\b", re.I)
+_KEPT_TAGS = re.compile(r"</?(?:h[1-6]|p|br|ul|ol|li|dl|dt|dd|pre|code|blockquote|table|tr|td|th|b|i|em|strong|u|s|sub|sup|mark|small|q|cite)\b", re.I)
 _PAGE_TAGS = re.compile(r"</?(?:nav|form|header|footer|script|style|iframe|button|select|option|input|link|meta)\b", re.I)
 
 #: Labelled pages for the weights: + lines are content, - lines are not.
@@ -121,18 +122,21 @@ _CLASSES = [k for k in _LEXER.groupindex if "_" in k]
 
 
 def _shape(name: str, source: str) -> str:
-    """The class a token is weighed by."""
+    """The class a token is weighed by; `kept` is the structure that stays in the clean text."""
     if name == "html_tag":
-        return "page" if _PAGE_TAGS.match(source) else "block" if _BLOCKS.match(source) else "inline"
+        return "page" if _PAGE_TAGS.match(source) else "kept" if _KEPT_TAGS.match(source) else "block" if _BLOCKS.match(source) else "inline"
     if name in ("html_gone", "wiki_gone", "tex_ref", "md_image"):
         return "page"
-    if name in ("tex_env", "wiki_table", "md_rule", "md_table"):
+    if name in ("tex_env", "md_rule"):
         return "block"
+    if name in ("html_code", "md_fence", "md_head", "md_under", "md_table", "md_quote", "md_code", "tex_code", "tex_math", "tex_head", "tex_item", "wiki_head", "wiki_item", "wiki_row", "wiki_table", "md_style", "wiki_style", "tex_style", "tex_quote", "tex_escape", "tex_break", "html_entity"):
+        return "kept"
     return "inline"
 
 
 def _fit(pages: str) -> dict[str, float]:
-    """Log-odds, content against the rest, of a word and of each class of token; add-one smoothing."""
+    """Log-odds, content against the rest, of a word and of each class of token; add-one smoothing. Words
+    score above 0, markup below; structure that is kept just below, so that it never costs its words."""
     seen = {"+": Counter(), "-": Counter()}
     for line in pages.splitlines():
         for name, source in tokens(line[2:]):
@@ -140,17 +144,18 @@ def _fit(pages: str) -> dict[str, float]:
                 seen[line[0]]["word"] += len(_WORD.findall(source))
             else:
                 seen[line[0]][_shape(name, source)] += 1
-    classes = ("word", "inline", "block", "page")
+    classes = ("word", "kept", "inline", "block", "page")
     total = {k: sum(c.values()) + len(classes) for k, c in seen.items()}
     odds = {c: math.log((seen["+"][c] + 1) / total["+"]) - math.log((seen["-"][c] + 1) / total["-"]) for c in classes}
-    return {c: max(v, 0.1) if c == "word" else min(v, -0.1) for c, v in odds.items()}
+    return {c: max(v, 0.1) if c == "word" else -0.1 if c == "kept" else min(v, -0.1) for c, v in odds.items()}
 
 
 WEIGHTS = _fit(LABELLED)
 
 
 def region(parts: list[tuple[str, str]]) -> tuple[int, int, int]:
-    """First token, end and number of words of the range of maximal score; the longest of equals."""
+    """First token, end and number of words of the range of maximal score, the longest of equals, and the
+    kept structure right beside it."""
     best, at, words, score, since, since_words = (0.0, 0, 0, 0), 0, 0, 0.0, 0, 0
     for i, (name, source) in enumerate(parts):
         n = len(_WORD.findall(source if name == "text" else plain(name, source)))
@@ -160,7 +165,12 @@ def region(parts: list[tuple[str, str]]) -> tuple[int, int, int]:
             best = (score, since, i + 1, words - since_words)
         if score < 0:
             score, since, since_words = 0.0, i + 1, words
-    return best[1], best[2], best[3]
+    first, end = best[1], best[2]
+    while first > 0 and end and _shape(*parts[first - 1]) == "kept" and parts[first - 1][0] != "text":
+        first -= 1
+    while 0 < end < len(parts) and _shape(*parts[end]) == "kept" and parts[end][0] != "text":
+        end += 1
+    return first, end, best[3]
 
 
 def plain(name: str, source: str) -> str:
@@ -233,7 +243,10 @@ def kinds(text: str | None) -> list[str]:
         return []
     parts = tokens(text)
     found = {_KIND[name.partition("_")[0]] for name, _ in parts if name != "text"}
-    return sorted(found) if found and region(parts)[2] >= LEAST_WORDS else []
+    if not found or region(parts)[2] == 0:
+        return []
+    words = sum(len(_WORD.findall(source if name == "text" else plain(name, source))) for name, source in parts)
+    return sorted(found) if words >= LEAST_WORDS else []
 
 
 def clean(text: str | None) -> str | None:
