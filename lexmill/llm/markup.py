@@ -77,6 +77,11 @@ _WORD = re.compile(r"[^\W\d_]{2,}")
 _BLOCKS = re.compile(r"</?(?:p|div|ul|ol|table|tr|blockquote|section|article|header|footer|nav|form|body|html|head|h[1-6]|li|dl|dt|dd|br|hr)\b", re.I)
 _KEPT_TAGS = re.compile(r"</?(?:h[1-6]|p|br|ul|ol|li|dl|dt|dd|pre|code|blockquote|table|tr|td|th|b|i|em|strong|u|s|sub|sup|mark|small|q|cite)\b", re.I)
 _PAGE_TAGS = re.compile(r"</?(?:nav|form|header|footer|script|style|iframe|button|select|option|input|link|meta)\b", re.I)
+_LIMITS = re.compile(r"</?(?:nav|form|header|footer|script|style|iframe|button|select|option|input|link|meta|html|head|title|body)\b", re.I)
+_LINK = re.compile(r"</?a\b", re.I)
+
+#: So many links in a row without a word between them are a menu.
+MENU = 3
 
 #: Labelled pages for the weights: + lines are content, - lines are not.
 LABELLED = """\
@@ -154,8 +159,8 @@ WEIGHTS = _fit(LABELLED)
 
 
 def region(parts: list[tuple[str, str]]) -> tuple[int, int, int]:
-    """First token, end and number of words of the range of maximal score, the longest of equals, and the
-    kept structure right beside it."""
+    """First token, end and number of words of the range of maximal score, the longest of equals. First
+    and end take in what `_reach` finds beside that range."""
     best, at, words, score, since, since_words = (0.0, 0, 0, 0), 0, 0, 0.0, 0, 0
     for i, (name, source) in enumerate(parts):
         n = len(_WORD.findall(source if name == "text" else plain(name, source)))
@@ -166,13 +171,36 @@ def region(parts: list[tuple[str, str]]) -> tuple[int, int, int]:
         if score < 0:
             score, since, since_words = 0.0, i + 1, words
     first, end = best[1], best[2]
-    while first > 0 and end and _shape(*parts[first - 1]) == "kept" and parts[first - 1][0] != "text":
-        first -= 1
-    while 0 < end < len(parts) and _shape(*parts[end]) == "kept" and parts[end][0] != "text":
-        end += 1
+    if end:
+        first, end = first - _reach(parts[:first][::-1]), end + _reach(parts[end:])
     return first, end, best[3]
 
 
+def _reach(parts: list[tuple[str, str]]) -> int:
+    """How many of the tokens beside the region, nearest first, belong to it: those up to a part of the page
+    or a menu, without what shows nothing at the far end. A lone link or a short sentence weighs less than
+    the markup around it, but its words are content."""
+    reach, links, menu, inside = 0, 0, 0, False
+    for i, (name, source) in enumerate(parts):
+        if name == "html_tag" and _LIMITS.match(source):
+            break
+        shown = source if name == "text" else plain(name, source)
+        link = name in ("md_link", "wiki_url")
+        if name == "html_tag" and _LINK.match(source):
+            inside = not inside  # read backwards, the closing tag comes first
+            link = inside
+        elif not link and not inside and (_WORD.search(shown) or name == "text" and "\n" in shown):
+            links = 0
+        if link:
+            links, menu = links + 1, menu if links else i
+            if links == MENU:
+                return min(reach, menu)
+        shape = "text" if name == "text" else _shape(name, source)
+        if shape == "kept" or shape != "page" and re.search(r"\w", shown):
+            reach = i + 1
+    return reach
+
+
 def plain(name: str, source: str) -> str:
     """What a token leaves in the clean text."""
     if name == "html_entity":

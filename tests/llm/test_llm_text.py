@@ -102,6 +102,21 @@ def test_structure_is_kept():
     assert clean("plain text stays as it is ") == "plain text stays as it is " and clean(None) is None
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("[dough](https://n.example/1) You know the old recipe", "dough You know the old recipe"), ("You know the old recipe, the [dough](https://n.example/1)", "You know the old recipe, the dough"),
+        ("<a href='/1'>pond</a> We watered the slug trap", "pond We watered the slug trap"), ("It was long ago \\cite{x1} they say.", "It was long ago  they say."),
+        ("===ferry===\n# [[sunburn]]\n# [[museum]]\nIt left at noon again", "### ferry\n- sunburn\n- museum\nIt left at noon again"),
+        ("Any tips? <!-- ad slot 11 --> <a href='/2'>Soup</a> was cold again today", "Any tips?  Soup was cold again today"),
+        ("We met at noon.<table><tr><td>map</td><td>51</td></tr></table>", "We met at noon.\n\n | map | 51"),
+        ("[start](/) [help](/help) [about](/about)\nThe loaf finally rose after three tries", "The loaf finally rose after three tries"),
+    ],
+)
+def test_readable_edges_stay(text, want):
+    assert clean(text) == want
+
+
 def test_markup_tables(spark):
     df = spark.createDataFrame([(1, "<b>very</b> nice and good", "k", 1, "t"), (2, None, "k", 1, "t"), (3, "<i>" * 20_000 + "word two three", "k", 1, "t")], TEXTS)
     assert {tuple(r) for r in markup_kinds(df).collect()} >= {(1, "html"), (3, "html")}
