@@ -45,7 +45,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = one_delivery(posts(spark, sf_dir), "rid", "post")
     levels = reading_levels(texts, table(spark, sf_dir, "reading_samples"))
-    return levels.groupBy("level").agg(F.count(F.lit(1)).alias("n_posts"), F.round(F.avg("mark"), 4).alias("mean_mark"))
+    return levels.groupBy(F.col("estimate").alias("level")).agg(
+        F.count(F.lit(1)).alias("n_posts"), F.round(F.avg("mark"), 4).alias("mean_mark"), F.count("level").alias("n_sure"), F.round(F.avg("confidence"), 4).alias("mean_confidence")
+    )
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ text's mark is a quantile of its known words' grades, by occurrence; its level i
 falls between cut points. Which quantile is used and where the cut points lie is calibrated on the
 samples, each marked with grades from which its own words were taken out.
 
+Texts the samples know too little of get an estimate instead: the grades of unknown words are told
+from their length and affixes, by a ridge regression on the known words.
+
 Fitting is done on the driver over a bounded table of samples (`max_samples`); scoring is row-local,
 whole Arrow batches at once, so nothing is shuffled.
 """
@@ -24,8 +27,12 @@ from .arrow import map_texts
 QUANTILES = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8)
 #: A word counts as acquired at the grade by which this share of its use is reached.
 ACQUIRED = 0.3
-#: A text gets a level if it has this many known words and they are this share of its words.
+#: A text's level is sure if it has this many known words and they are this share of its words.
 LEAST_KNOWN, LEAST_SHARE = 5, 0.4
+#: Longer words are guessed as words of this length.
+LONGEST = 16
+#: Weight of the penalty when unknown words' grades are fitted.
+RIDGE = 5.0
 #: Runs of letters, with what apostrophes join.
 _BREAK = r"[^\p{L}'’]+"
 
@@ -38,6 +45,24 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return ends - ends[0], coded.indices.to_numpy(zero_copy_only=False), [w.strip("'’") for w in coded.dictionary.to_pylist()]
 
 
+def _traits(word: str) -> tuple[str, ...]:
+    """What the grade of an unknown word is told from, besides its length."""
+    return (f"{word[:2]}-", f"-{word[-2:]}", f"-{word[-3:]}")
+
+
+@dataclass(frozen=True)
+class Guess:
+    """Grades of unknown words; `onto` takes a text's mean of them to the scale of the marks."""
+
+    base: float
+    slope: float
+    parts: dict[str, float]
+    onto: tuple[float, float]
+
+    def word(self, word: str) -> float:
+        return self.base + self.slope * min(len(word), LONGEST) + sum(self.parts.get(t, 0.0) for t in _traits(word))
+
+
 @dataclass(frozen=True)
 class Levels:
     """A fitted scale."""
@@ -46,6 +71,7 @@ class Levels:
     quantile: float
     cuts: tuple[float, ...]
     lowest: int
+    guess: Guess
 
     def marks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(mark, share of known words) of each text; the mark is nan where it has too few."""
@@ -66,9 +92,32 @@ class Levels:
         out[enough] = ordered[at[enough]]
         return out, share
 
-    def levels(self, texts: list[str]) -> list[tuple[int | None, float | None]]:
+    def estimates(self, texts: list[str], marked: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int | None, float | None]]:
+        """(level, confidence) of each text that has words, or nulls; `marked` is what `marks` gave. The confidence is the share of known
+        words; where the mark is not sure it is scaled down by what is missing of `LEAST_KNOWN`."""
+        marks, share = (x.copy() for x in marked or self.marks(texts))
+        confidence = share.copy()
+        few = np.flatnonzero(np.isnan(marks))
+        ends, codes, words = _words(pa.array([texts[i] for i in few], pa.large_string()))
+        known = np.array([self.grades.get(w, np.nan) for w in words] or [np.nan])
+        unknown = np.array([self.guess.word(w) if w else np.nan for w in words] or [np.nan])
+        a, b = self.guess.onto
+        for i, start, end in zip(few, ends[:-1], ends[1:]):
+            run = codes[start:end]
+            run = run[~np.isnan(unknown[run])]
+            if not len(run):
+                continue
+            graded = np.sort(known[run][~np.isnan(known[run])])
+            marks[i] = a + b * unknown[run].mean()
+            if len(graded):
+                marks[i] += share[i] * (graded[int(self.quantile * (len(graded) - 1))] - marks[i])
+            confidence[i] *= min(1.0, len(graded) / LEAST_KNOWN)
+        level = self.lowest + np.searchsorted(np.array(self.cuts), marks, side="right")
+        return [(None, None) if np.isnan(m) else (int(v), round(float(c), 6)) for v, c, m in zip(level, confidence, marks)]
+
+    def levels(self, texts: list[str], marked: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int | None, float | None]]:
         """(level, mark) of each text, or nulls."""
-        marks, _ = self.marks(texts)
+        marks, _ = marked or self.marks(texts)
         level = self.lowest + np.searchsorted(np.array(self.cuts), marks, side="right")
         return [(None, None) if np.isnan(m) else (int(v), round(float(m), 6)) for v, m in zip(level, marks)]
 
@@ -121,15 +170,45 @@ def fit(samples: list[tuple[str, int]]) -> Levels:
     if cuts is None:
         raise ValueError("the samples don't tell their levels apart")
     grades = {w: float(g) for w, g in zip(words, _grades(has, sizes, scale)) if w}
-    return Levels(grades, quantile, cuts, int(scale[0]))
+    return Levels(grades, quantile, cuts, int(scale[0]), _guess(grades, [[words[c] for c in run if words[c]] for run in runs], marks[:, QUANTILES.index(quantile)]))
+
+
+def _guess(grades: dict[str, float], texts: list[list[str]], marks: np.ndarray) -> Guess:
+    """How unknown words are graded. Each word's part in the line from means to marks is its grade as told
+    by the other words (leave-one-out), as unknown words are never in the fit."""
+    words = sorted(grades)
+    traits = [_traits(w) for w in words]
+    column = {t: i + 2 for i, t in enumerate(sorted({t for ts in traits for t in ts}))}
+    x = np.zeros((len(words), len(column) + 2))
+    x[:, 0] = 1
+    x[:, 1] = [min(len(w), LONGEST) for w in words]
+    for row, ts in zip(x, traits):
+        row[[column[t] for t in ts]] = 1
+    y = np.array([grades[w] for w in words])
+    # the penalised normal equations, the constant free; with fewer words than columns they are solved on the words' side
+    centre, middle = x[:, 1:].mean(0), y.mean()
+    z = x[:, 1:] - centre
+    kernel = z @ z.T
+    solved = np.linalg.solve(kernel + RIDGE * np.eye(len(words)), np.column_stack([y - middle, kernel]))
+    weight, hat = z.T @ solved[:, 0], np.diag(solved[:, 1:]) + 1 / len(words)
+    told = middle + z @ weight
+    alone = dict(zip(words, y - (y - told) / np.maximum(1 - hat, 1e-6)))
+    means = np.array([np.mean([alone[w] for w in t]) if t else np.nan for t in texts])
+    real = ~np.isnan(means) & ~np.isnan(marks)
+    spread = np.var(means[real]) if real.any() else 0.0
+    b = float(max(0.0, np.cov(means[real], marks[real], bias=True)[0, 1] / spread)) if spread > 0 else 0.0
+    a = float(marks[real].mean() - b * means[real].mean()) if real.any() else middle
+    return Guess(float(middle - centre @ weight), float(weight[0]), {t: float(weight[i - 1]) for t, i in column.items()}, (a, b))
 
 
 def reading_levels(texts: DataFrame, samples: DataFrame, key: str = "rid", text: str = "post", max_samples: int = 20_000) -> DataFrame:
-    """(key, level, mark) of each input row, on the scale of `samples` (text, level).
+    """(key, level, mark, estimate, confidence) of each input row, on the scale of `samples` (text, level).
 
     Level and mark are null for null, empty and very short texts and for those most of whose words
-    the samples don't know (other languages, symbols). `max_samples` bounds the table that is fitted
-    on; a larger one is refused. Levels are taken to be consecutive whole numbers.
+    the samples don't know (other languages, symbols). The estimate is the level where there is one and
+    else told from the words' form, with a low confidence (0 to 1); it is null only for texts without a
+    word. `max_samples` bounds the table that is fitted on; a larger one is refused. Levels are taken to
+    be consecutive whole numbers.
     """
     rows = samples.select("text", "level").dropna().limit(max_samples + 1).collect()
     if len(rows) > max_samples:
@@ -140,10 +219,12 @@ def reading_levels(texts: DataFrame, samples: DataFrame, key: str = "rid", text:
         def work(rows):
             for i in range(0, len(rows), 2000):
                 part = rows[i : i + 2000]
-                for (k, _), row in zip(part, scale.levels([t or "" for _, t in part])):
-                    yield k, *row
+                read = [t or "" for _, t in part]
+                marked = scale.marks(read)
+                for (k, _), row, estimate in zip(part, scale.levels(read, marked), scale.estimates(read, marked)):
+                    yield k, *row, *estimate
 
         return work
 
     kind = texts.schema[key].dataType.simpleString()
-    return map_texts(texts.select(key, text), make, f"{key} {kind}, level int, mark double")
+    return map_texts(texts.select(key, text), make, f"{key} {kind}, level int, mark double, estimate int, confidence double")

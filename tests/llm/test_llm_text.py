@@ -142,6 +142,24 @@ def test_levels_of_held_out_texts():
     assert sum(right) / len(right) > 0.9
 
 
+def test_every_text_with_words_gets_an_estimate(spark):
+    text = graded()
+    samples = spark.createDataFrame([(text(v), v) for v in range(1, 6) for _ in range(8)], "text string, level int")
+    rows = [(1, text(5), "k", 9, "t"), (2, None, "k", 9, "t"), (3, "=*-|", "k", 9, "t"), (4, "ja nein doch vielleicht immer nie", "k", 9, "t"), (5, "waky", "k", 9, "t"), (6, "wakn the", "k", 9, "t")]
+    got = {r.rid: r for r in reading_levels(spark.createDataFrame(rows, TEXTS), samples).collect()}
+    assert got[1].estimate == got[1].level == 5 and got[1].confidence == 1
+    assert got[2].estimate is got[3].estimate is got[2].confidence is got[3].confidence is None
+    assert all(1 <= got[i].estimate <= 5 and got[i].level is None and got[i].confidence < 0.5 for i in (4, 5, 6))
+
+
+def test_words_never_seen_are_graded_by_their_form():
+    rng = random.Random(5)
+    words = {v: ["".join(rng.choice("bdklmnrst") + rng.choice("aeiou") for _ in range(v)) + ("" if v < 3 else "tion" if v == 5 else "er") for _ in range(60)] for v in range(1, 6)}
+    scale = fit([(" ".join(rng.choices(words[v][:30], k=40)), v) for v in range(1, 6) for _ in range(12)])
+    told = [scale.estimates([" ".join(rng.choices([w for w in words[v][30:] if w not in scale.grades], k=40))])[0] for v in range(2, 6)]
+    assert [round(c, 6) for _, c in told] == [0] * 4 and all(abs(level - v) <= 1 for (level, _), v in zip(told, range(2, 6))) and told[0][0] < told[-1][0]
+
+
 def test_level_edges(spark):
     text = graded()
     samples = spark.createDataFrame([(text(v), v) for v in range(1, 6) for _ in range(8)] + [(None, 1), ("x", None)], "text string, level int")
