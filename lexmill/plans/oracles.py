@@ -65,6 +65,11 @@ allposts AS (SELECT 'birth_year' AS ds, entity, rid, post FROM b UNION ALL SELEC
 sided AS (SELECT corpus, p.entity, post, rid, CASE WHEN ds = df1 THEN 0 ELSE 1 END AS side FROM pairs p JOIN allposts a ON a.entity = p.entity AND a.ds IN (df1, df2) WHERE post IS NOT NULL),
 mposts AS (SELECT corpus, entity, post, min((side, rid)) AS ord FROM sided GROUP BY corpus, entity, post)"""
 
+_FIELDS = {"political_leaning": ("author_ID", "political_leaning attrs posted_at"), "birth_year": ("auhtor_ID", "birth_year posted_at"), "nationality": ('"author_ID "', "nationality gender posted_at")}
+_CELLS = "".join(f",\nwhole_{n} AS {_dataset(n, key, fields)}" for n, (key, fields) in _FIELDS.items()) + ",\ncells AS (" + "\n  UNION ALL ".join(
+    f"SELECT '{n}' AS ds, entity, '{c}' AS field, {c}::VARCHAR AS value, rid FROM whole_{n} WHERE entity IS NOT NULL" for n, (_, fields) in _FIELDS.items() for c in ["post", *fields.split()]
+) + ")"
+
 _MERGED_FREQ = f""",
 mtoks AS (SELECT corpus, unnest(list_filter(string_split_regex(lower({_clean('post')}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{2,}}'))) AS tok FROM mposts),
 freq AS (SELECT corpus, tok, count(*) AS c FROM mtoks GROUP BY corpus, tok)"""
@@ -251,6 +256,10 @@ SELECT entity, field, count(*) AS n_values FROM l GROUP BY entity, field""",
     "merged_fields": f"""WITH {_SETS}, l AS (SELECT 'political_leaning' AS ds, entity, 'political_leaning' AS field, political_leaning AS value, rid FROM pl UNION ALL SELECT 'political_leaning', entity, 'attrs', attrs, rid FROM pl
 UNION ALL SELECT 'birth_year', entity, 'birth_year', birth_year::VARCHAR, rid FROM b UNION ALL SELECT 'nationality', entity, 'nationality', nationality, rid FROM n UNION ALL SELECT 'nationality', entity, 'gender', gender, rid FROM n)
 SELECT corpus, p.entity, field, value, min(rid) AS first FROM pairs p JOIN l ON l.entity = p.entity AND ds IN (df1, df2) GROUP BY corpus, p.entity, ds, field, value""",
+    "collapse_entities_all": f"WITH {_SETS}{_CELLS} SELECT ds AS dataset, entity, field, value, min(rid) AS first FROM cells GROUP BY ALL",
+    "collapse_value_counts_all": f"WITH {_SETS}{_CELLS} SELECT ds AS dataset, entity, field, count(*) AS n_values FROM (SELECT DISTINCT ds, entity, field, value FROM cells) GROUP BY ALL",
+    "merged_fields_all": f"""WITH {_SETS}{_CELLS} SELECT corpus, p.entity, CASE WHEN field = 'posted_at' THEN CASE WHEN ds = df1 THEN 'posted_at_x' ELSE 'posted_at_y' END ELSE field END AS field, value, min(rid) AS first
+FROM pairs p JOIN cells l ON l.entity = p.entity AND ds IN (df1, df2) WHERE field <> 'post' GROUP BY corpus, p.entity, ds, df1, field, value""",
     "merged_posts": f"WITH {_SETS} SELECT corpus, entity, post FROM mposts",
     "extracted_texts": f"WITH {_SETS}{_TEXTS} SELECT corpus, entity, n_posts, n_chars FROM texts",
     "extraction_stats": f"WITH {_SETS}{_TEXTS} SELECT corpus, count(*) AS n_texts FROM texts GROUP BY corpus",

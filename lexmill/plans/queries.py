@@ -334,6 +334,23 @@ def merged_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.merged_fields(sets)
 
 
+@query
+def collapse_entities_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column but the key and the record's number, posts and times included."""
+    return J._all([J.collapse(df).withColumn("dataset", F.lit(n)) for n, df in datasets(spark, sf_dir).items()])
+
+
+@query
+def collapse_value_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J._all([J.value_counts(J.collapse(df)).withColumn("dataset", F.lit(n)) for n, df in datasets(spark, sf_dir).items()])
+
+
+@query
+def merged_fields_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields; `posted_at`, which every dataset has, comes as _x and _y."""
+    return J.merged_fields(datasets(spark, sf_dir))
+
+
 @query
 def merged_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.merged_posts(datasets(spark, sf_dir)).select("corpus", "entity", "post")

@@ -158,6 +158,19 @@ def test_language_guess_and_joined(spark):
     assert spark.range(1).select(T.joined(F.array(F.lit("a"), F.lit(None), F.lit("b"))).alias("j")).first().j == "a b"
 
 
+def test_registered_collapse_has_every_column(spark):
+    from conftest import SF
+
+    from lexmill.plans.queries import QUERIES
+
+    fields = {"political_leaning": {"political_leaning", "attrs"}, "birth_year": {"birth_year"}, "nationality": {"nationality", "gender"}}
+    for name in ("collapse_entities_all", "collapse_value_counts_all"):
+        got = {(r.dataset, r.field) for r in QUERIES[name](spark, SF).select("dataset", "field").distinct().collect()}
+        assert got == {(n, f) for n, own in fields.items() for f in own | {"post", "posted_at"}}
+    merged = {r.field for r in QUERIES["merged_fields_all"](spark, SF).select("field").distinct().collect()}
+    assert merged == set().union(*fields.values()) | {"posted_at_x", "posted_at_y"}
+
+
 def test_collapse_commutes_with_join(spark):
     rng = random.Random(5)
     sets = {}
