@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.numeric import ratio
 
-#: Corpora that are compared with one another at most: pairs are listed from their names.
-MAX_CORPORA = 5000
+#: Parts (a power of 2) the names are dealt into when pairs are listed. A row then holds one part of them, never all.
+BLOCKS = 64
 
 
 def _pairs(freq: DataFrame, same: bool = False) -> DataFrame:
-    """(c1, c2) of all corpora, c1 before c2. Names sit in one bounded array, so no cross join is needed."""
-    names = freq.select("corpus").distinct()
-    listed = names.agg(F.array_sort(F.collect_set("corpus")).alias("all")).where(F.size("all") <= MAX_CORPORA)
-    one = listed.select(F.posexplode("all").alias("i", "c1"), "all")
-    rest = one.select("c1", F.explode(F.expr("slice(all, i + 1, size(all))")).alias("c2"))
-    return rest if same else rest.where("c1 <> c2")
+    """(c1, c2) of all corpora, c1 before c2. Every name meets the other names block by block, an equi-join on
+    the block's number, so no cross join is needed and the number of corpora has no bound."""
+    names = freq.where("corpus is not null").select("corpus").distinct()
+    block = F.xxhash64("corpus").bitwiseAND(F.lit(BLOCKS - 1).cast("bigint"))  # never null, so both sides share one shuffle
+    packed = names.groupBy(block.alias("block")).agg(F.collect_list("corpus").alias("others"))
+    spread = names.select(F.col("corpus").alias("c1"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BLOCKS - 1).cast("bigint"))).alias("block"))
+    listed = spread.join(packed, "block").select("c1", F.explode("others").alias("c2"))
+    return listed.where("c1 <= c2" if same else "c1 < c2")
 
 
 def overlaps(freq: DataFrame) -> DataFrame:

@@ -158,6 +158,16 @@ def test_language_guess_and_joined(spark):
     assert spark.range(1).select(T.joined(F.array(F.lit("a"), F.lit(None), F.lit("b"))).alias("j")).first().j == "a b"
 
 
+def test_pairs_of_many_corpora(spark):
+    n = 5001
+    freq = spark.range(n).select(F.concat(F.lit("c"), "id").alias("corpus"), F.concat(F.lit("w"), "id").alias("tok"), F.lit(1).cast("bigint").alias("c"))
+    for same, want in ((False, n * (n - 1) // 2), (True, n * (n + 1) // 2)):
+        found = X._pairs(freq, same).agg(F.count(F.lit(1)), F.min(F.when(F.col("c1") <= F.col("c2"), 1).otherwise(0)), F.count_distinct("c1")).first()
+        assert tuple(found) == (want, 1, n if same else n - 1)
+    few = freq.where("tok in ('w1', 'w2', 'w3')").union(freq.where("tok = 'w1'").withColumn("corpus", F.lit(None).cast("string")))
+    assert {(r.c1, r.c2) for r in X.jaccard_pairs(few).collect()} == {("c1", "c2"), ("c1", "c3"), ("c2", "c3")}
+
+
 def test_registered_collapse_has_every_column(spark):
     from conftest import SF
 
