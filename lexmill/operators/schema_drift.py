@@ -67,7 +67,7 @@ def _profiles(values: DataFrame) -> DataFrame:
     year = F.when(v.rlike(r"^'\d\d$"), F.concat(F.lit("19"), number)).otherwise(number)
     one = values.select(
         "file_id", "pos", v, low.alias("low"), v.rlike(ANY_DATE).alias("dated"), F.expr("try_cast(null as double)").alias("none"),
-        F.when(year != "", year.cast("double")).alias("x"),
+        F.when(year != "", year.cast("double")).alias("x"), F.length(F.ltrim(F.translate(number, ".", ""), F.lit("0"))).alias("long"),
     )
     all_of = lambda c: F.every(c)
     return one.groupBy("file_id", "pos").agg(
@@ -84,8 +84,10 @@ def _profiles(values: DataFrame) -> DataFrame:
         F.avg(F.length("v")).alias("width"),
         F.min("x").alias("bottom"),
         F.max("x").alias("top"),
+        F.max("long").alias("digits"),
+        all_of(F.when(v.rlike(DATE), v.try_cast("date").isNotNull())).alias("real_dates"),
         F.percentile_approx("x", F.array(F.lit(0.5), F.lit(0.9)), 200).alias("q"),
-        F.expr("theta_sketch_agg(coalesce(cast(cast(x as bigint) as string), low), 9)").alias("sketch"),
+        F.expr("theta_sketch_agg(coalesce(cast(try_cast(x as bigint) as string), low), 9)").alias("sketch"),
     )
 
 
@@ -132,7 +134,7 @@ def _segments(files: DataFrame, rows: DataFrame) -> DataFrame:
     """Every field of every file with the profile and type it has or, without values, keeps. A segment
     is a run of files in a row that have the field."""
     n = _width(files)
-    profile = F.struct("n", "type", "yes_no", "dates", "numbers", "width", "bottom", "top", "q", "sketch")
+    profile = F.struct("n", "type", "yes_no", "dates", "numbers", "width", "bottom", "top", "digits", "real_dates", "q", "sketch")
     found = _profiles(_values(rows.select("file_id", "record"), n)).select("file_id", "pos", profile.alias("p"))
     here = _fields(files, n).join(found, ["file_id", "pos"], "left")
     w = W.partitionBy("feed_id", "name").orderBy("at")
@@ -226,11 +228,21 @@ def _keyed(rooted: DataFrame, key: str) -> DataFrame:
     return rooted.join(best, "feed_id", "left").withColumn("root", F.when(F.col("root") == F.col("key_root"), F.lit(key)).otherwise(F.col("root"))).drop("key_root")
 
 
+def _stored(kind: str, digits: int, real_dates: bool) -> str:
+    """The type of a column that no value of its kind is lost in: numbers too long for the kind's own type
+    are stored as decimal(38,0) or text, dates as text if one isn't in the calendar."""
+    if kind == "integer" and digits > 18:
+        return "decimal(38,0)" if digits <= 38 else "string"
+    if kind == "decimal" and digits > 15 or kind == "date" and not real_dates:
+        return "string"
+    return TYPES[kind]
+
+
 def one_table(files: DataFrame, rows: DataFrame, key: str = "author_ID") -> DataFrame:
     """All records of all files in one table: feed_id, file_id, row_no, the key as a whole number, and a
     column for every field under the first name it had, in the type its values fold to.
 
-    A field that a file lacks, and a value that is missing, is null. The key is the number its value
+    A field that a file lacks, and a value that is missing, is null; no other value is (`_stored`). The key is the number its value
     holds, whatever is written around it (`u00000012`, `id:12`, `12.0`). Every row is kept, repeated
     ones too. The number of columns is bounded by `MAX_FIELDS`.
     """
@@ -238,9 +250,11 @@ def one_table(files: DataFrame, rows: DataFrame, key: str = "author_ID") -> Data
     segments = _segments(files, rows)
     _, _, pairs = _renames(segments)
     rooted = cut(_keyed(segments.join(_roots(segments, pairs), ["feed_id", "name", "segment"]), key))
+    folded = rooted.groupBy("root").agg(F.collect_set("p.type").alias("kinds"), F.max("p.digits").alias("digits"), F.every("p.real_dates").alias("real_dates"))
     types: dict[str, set[str]] = {}
-    for root, kind in rooted.select("root", "p.type").distinct().limit(MAX_FIELDS * len(TYPES) + 1).collect():
-        types.setdefault(root, set()).update([kind] if kind else [])
+    digits, real = {}, {}
+    for root, kinds, most, dates in folded.limit(MAX_FIELDS + 1).collect():
+        types[root], digits[root], real[root] = set(kinds), most or 0, dates is not False
     if len(types) > MAX_FIELDS:
         raise ValueError(f"the table would have more than {MAX_FIELDS} columns")
     layout = rooted.groupBy("feed_id", "file_id").agg(F.map_from_entries(F.collect_list(F.struct("root", "pos"))).alias("place"))
@@ -254,11 +268,12 @@ def one_table(files: DataFrame, rows: DataFrame, key: str = "author_ID") -> Data
         raw = F.coalesce(*(F.trim(F.try_element_at(F.col("v"), F.try_element_at("place", F.lit(r)) + 1)) for r in roots))
         value = F.when(~raw.isin(*MISSING), raw)
         if key in roots:
-            return F.regexp_extract(value, r"(\d+)(?:\.0*)?\D*$", 1).try_cast("bigint").alias(key)
+            number = F.regexp_extract(value, r"(\d+)(?:\.0*)?\D*$", 1)
+            return F.when(number != "", number).try_cast(_stored("integer", max(digits[r] for r in roots), True)).alias(key)
         kinds = set().union(*(types[r] for r in roots))
         kind = next(iter(kinds)) if len(kinds) == 1 else "decimal" if kinds and kinds <= {"integer", "decimal"} else "text"
         name = roots[-1]
-        return value.try_cast(TYPES[kind]).alias(f"{name}_" if name.lower() in ("feed_id", "file_id", "row_no") else name)
+        return value.try_cast(_stored(kind, max(digits[r] for r in roots), all(real[r] for r in roots))).alias(f"{name}_" if name.lower() in ("feed_id", "file_id", "row_no") else name)
 
     own = spelled.pop(key.lower(), None)
     return cells.select("feed_id", "file_id", "row_no", *(column(r) for r in [own] * bool(own) + [spelled[k] for k in sorted(spelled)]))

@@ -82,6 +82,15 @@ def test_one_table(spark):
     assert got[3, 2].author_ID == int(key(2)) and got[3, 2].post == post(2) and got[3, 2].likes is None and got[0, 5].mood == mood(5)
 
 
+def test_no_present_value_turns_null(spark):
+    huge, day, fine = "123456789012345678901", "2023-02-30", "0.12345678901234567"
+    cells = [["1" + "0" * 21, huge, day, fine, "7", "2023-02-01", "9" * 40], ["5", "7", "2023-02-01", "1.5", "8", "2024-02-29", "1"]]
+    table = one_table(*frames(spark, [(1, 1, "author_ID,serial,seen,ratio,likes,born,hash", cells)]))
+    got = {r.row_no: r for r in table.collect()}
+    assert (int(got[0].author_ID), int(got[0].serial), str(got[0].seen), str(got[0].ratio), str(got[0].hash)) == (10**21, int(huge), day, fine, "9" * 40)
+    assert {c: k for c, k in table.dtypes if c in ("likes", "born")} == {"likes": "bigint", "born": "date"} and all(x is not None for r in got.values() for x in r)
+
+
 def test_empty_and_null(spark):
     files, lines = frames(spark, feed())
     assert schema_changes(files.where("false"), lines).count() == 0
