@@ -4,11 +4,12 @@ The kernel of two strings is the cosine of their sets of character n-grams, leng
 approximated by Nyström landmarks, on which a one-versus-rest kernel ridge regression is solved. As
 the kernel is an inner product of presence vectors, landmarks and weights fold into one matrix of
 n-gram bucket by language: batches of sentences are scored by a product of their presence vectors
-with it. A Viterbi pass over a text's sentences, with a price on changing language, gives the
+with it. N-grams are told apart by a hash of 16 bits, so some share a bucket. A Viterbi pass over a text's sentences, with a price on changing language, gives the
 stretches; a language belongs to a text if it has two whole sentences in a row, or is its main one.
 
-The model is fitted on the driver on a bounded sample of labelled rows (`per_language` rows of each
-language at most, picked by hash); labels may be wrong, so sentences that the first fit contradicts
+The model is fitted on the driver on a bounded sample: about `per_language` labelled rows of each
+language, picked by hash, and `per_fit` of their different sentences, drawn by a seeded generator. Both
+bounds are parameters and concern the fit alone. Labels may be wrong, so sentences that the first fit contradicts
 are taken out before the second. Romanised Russian and texts without their accents are made from the
 sample's own sentences. Scoring is row-local over whole texts.
 """
@@ -17,9 +18,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,17 +48,23 @@ ROMAN = dict(
     )
 )
 LANGUAGES = tuple(NAMES)
-BUCKETS, LENGTHS, LANDMARKS, RIDGE = 1 << 16, (1, 2, 3, 4), 256, 0.3
+BUCKETS, LENGTHS, LANDMARKS, RIDGE = 1 << 16, (1, 2, 3, 4), 768, 0.3
 #: A sentence is told if it has this many letters and its best score is this high; price of a change.
 LEAST_LETTERS, LEAST_SCORE, CHANGE = 4, 0.2, 3.0
 #: A text with fewer letters has no language.
 TEXT_LETTERS = 10
 
+_GONE = re.compile(r"https?://\S+|www\.\S+|\S+@\S+|<[^<>]{1,200}>|&[a-z]{2,8};|\[\[|\]\]|\{\{[^{}]*\}\}|\\[a-zA-Z]+|`[^`\n]*`|[@#]\w+")
+_SIGN = re.compile(r"[@#<&{\[\\`/]|www")
+_SENTENCE = re.compile(r"[^.!?…\n]+(?:[.!?…]+[\"”»’)]*(?=\s|$)|[.!?…]+(?=\S)[^.!?…\n]*)*[.!?…]*[\"”»’)]*\n?|[.!?…\n]+")
+_LETTERS = 10
+
 _GONE = re.compile(r"https?://\S+|www\.\S+|\S+@\S+|<[^<>]{1,200}>|&[a-z]{2,8};|\[\[|\]\]|\{\{[^{}]*\}\}|\\[a-zA-Z]+|`[^`\n]*`|[@#]\w+")
 _SIGN = re.compile(r"[@#<&{\[\\`/]|www")
 _SENTENCE = re.compile(r"[^.!?…\n]+(?:[.!?…]+[\"”»’)]*(?=\s|$)|[.!?…]+(?=\S)[^.!?…\n]*)*[.!?…]*[\"”»’)]*\n?|[.!?…\n]+")
 _WHOLE = re.compile(r"[^|<>]*\w\s[^|<>]*\w[\"”»’)]*[.!?…]+[\"”»’)]*\s*$|[^|<>{}=]*$")
-_NON_LETTER = re.compile(r"[\W\d_]+")
+_WORD, _MARKS = re.compile(r"\w"), frozenset("|<>")
+_LETTERS = re.compile(rf"(?:[^\W\d_][\W\d_]*+){{{TEXT_LETTERS}}}")
 
 
 def label_language(label: Column) -> Column:
@@ -69,16 +80,22 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _SENTENCE.finditer(text) if not m[0].isspace()]
 
 
-def letters(text: str) -> str:
-    """A sentence as the kernel sees it: lower-case words with a space around each."""
-    if _SIGN.search(text):
-        text = _GONE.sub(" ", text)
-    return " " + _NON_LETTER.sub(" ", unicodedata.normalize("NFC", text.lower())).strip() + " "
+def letters(texts: list[str]) -> list[str]:
+    """Sentences as the kernel sees them: lower-case words with a space around each."""
+    bare = pa.array([_GONE.sub(" ", t) if _SIGN.search(t) else t for t in texts], pa.large_string())
+    words = pc.replace_substring_regex(pc.utf8_normalize(pc.utf8_lower(bare), "NFC"), r"[^\pL]+", " ")
+    return [f" {w} " for w in pc.ascii_trim(words, " ").to_pylist()]
 
 
 def whole(text: str) -> bool:
-    """Whether a span is a sentence rather than a scrap: it ends as one, or has five words and no markup."""
-    return _WHOLE.match(text) is not None and (text.rstrip()[-1:] in ".!?…\"”»’)" or len(text.split()) >= 5)
+    """Whether a span is a sentence rather than a scrap: two words or more that end as a sentence does, or
+    five words or more; no markup."""
+    if not _MARKS.isdisjoint(text):
+        return False
+    words = text.split()
+    if text.rstrip().rstrip("\"”»’)").endswith((".", "!", "?", "…")):
+        return len(list(islice((w for w in words if _WORD.search(w)), 2))) == 2
+    return len(words) >= 5 and "{" not in text and "}" not in text and "=" not in text
 
 
 def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,19 +172,20 @@ def variants(text: str, language: str) -> list[str]:
     return out
 
 
-def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
-    """A model of labelled texts (text, two-letter code)."""
-    seen = {}
-    for text, code in rows:
-        for a, b in sentences(text):
-            s = letters(text[a:b])
-            if len(s) >= 12 and code in NAMES:
-                seen.setdefault(s, LANGUAGES.index(code))
-    if not seen:
+def fit(rows: list[tuple[str, str]], seed: int = 7, per_fit: int = 1500) -> Model:
+    """A model of labelled texts (text, two-letter code), fitted on `per_fit` different sentences of each
+    language at most."""
+    cut = [(text[a:b], code) for text, code in rows if code in NAMES for a, b in sentences(text)]
+    votes: dict[str, Counter] = {}
+    for s, (_, code) in zip(letters([t for t, _ in cut]), cut):
+        if len(s) >= 12:
+            votes.setdefault(s, Counter())[LANGUAGES.index(code)] += 1
+    if not votes:
         raise ValueError("no labelled text to fit on")
-    texts, labels = list(seen), np.array(list(seen.values()))
+    # a sentence that recurs under several labels has the one most texts give it
+    texts, labels = list(votes), np.array([max(v, key=lambda c: (v[c], -c)) for v in votes.values()])
     rng = np.random.default_rng(seed)
-    few = np.concatenate([rng.permutation(np.flatnonzero(labels == c))[:1500] for c in sorted(set(labels.tolist()))])
+    few = np.concatenate([rng.permutation(np.flatnonzero(labels == c))[:per_fit] for c in sorted(set(labels.tolist()))])
     texts, labels = [texts[i] for i in few], labels[few]
     first = _solve(texts, labels, rng)
     agree = first.scores(texts).argmax(1) == labels
@@ -181,59 +199,73 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     return Model(model.weights, steep[int(np.argmin(loss))])
 
 
-def segments(model: Model, texts: list[str | None]) -> list[list[tuple[int, int, str, float, int, int]]]:
-    """The single-language stretches of each text: (start, end, language, confidence, whole sentences, letters).
+def segments(model: Model, texts: list[str | None]) -> list[list[tuple[int, int, str, float, int, bool]]]:
+    """The single-language stretches of each text: (start, end, language, confidence, letters, several), the
+    last telling whether there are two whole sentences or more.
 
     Sentences that can't be told (few letters, noise) go with the stretch they stand in. A text of
     fewer than `TEXT_LETTERS` letters has none.
     """
-    spans = [sentences(t) if t and sum(map(str.isalpha, t)) >= TEXT_LETTERS else [] for t in texts]
+    spans = [sentences(t) if t and _LETTERS.search(t) else [] for t in texts]
     known: dict[str, int] = {}
-    flat = [[known.setdefault(letters(t[a:b]), len(known)) for a, b in own] for t, own in zip(texts, spans)]
-    scores = model.scores(list(known))
-    size = np.array([len(s.replace(" ", "")) for s in known] or [0])
+    flat = [[known.setdefault(t[a:b], len(known)) for a, b in own] for t, own in zip(texts, spans)]
+    seen = letters(list(known))
+    scores = model.scores(seen)
+    size = np.array([len(s.replace(" ", "")) for s in seen] or [0])
     told = (size >= LEAST_LETTERS) & (scores.max(1, initial=-1) >= LEAST_SCORE)
     chance = model.steepness * scores
     chance = chance - np.log(np.exp(chance).sum(1, keepdims=True)) if len(chance) else chance
+    best, sure, tell = chance.argmax(1).tolist() if len(chance) else [], np.exp(chance), told.tolist()
     out = []
     for t, own, ids in zip(texts, spans, flat):
-        ids, own = [i for i in ids if told[i]], [s for i, s in zip(ids, own) if told[i]]
-        if not ids:
-            out.append([])
-            continue
-        score, back = chance[ids[0]], []
-        for i in ids[1:]:
-            best = int(score.argmax())
-            change = score[best] - CHANGE > score
-            back.append(np.where(change, best, np.arange(len(LANGUAGES))))
-            score = np.where(change, score[best] - CHANGE, score) + chance[i]
-        path = [int(score.argmax())]
-        for step in reversed(back):
-            path.append(int(step[path[-1]]))
-        path.reverse()
-        runs: list[list] = []
-        for i, (a, b), c in zip(ids, own, path):
-            p, n, k = float(np.exp(chance[i, c])), int(size[i]), int(whole(t[a:b]))
-            if runs and runs[-1][2] == c:
-                runs[-1][1], runs[-1][3], runs[-1][4], runs[-1][5] = b, runs[-1][3] + p * n, runs[-1][4] + k, runs[-1][5] + n
-            else:
-                runs.append([a, b, c, p * n, k, n])
-        out.append([(a, b, LANGUAGES[c], round(p / n, 4), k, n) for a, b, c, p, k, n in runs])
+        kept = [(i, s) for i, s in zip(ids, own) if tell[i]]
+        path = _path(chance, [i for i, _ in kept], best)
+        runs, at = [], 0
+        while at < len(path):
+            c, end = path[at], at + 1
+            while end < len(path) and path[end] == c:
+                end += 1
+            part = [i for i, _ in kept[at:end]]
+            n = size[part]
+            some = 0
+            for _, (a, b) in kept[at:end]:
+                some += whole(t[a:b])
+                if some == 2:
+                    break
+            runs.append((kept[at][1][0], kept[end - 1][1][1], LANGUAGES[c], round(float(sure[part, c] @ n / n.sum()), 4), int(n.sum()), some == 2))
+            at = end
+        out.append(runs)
     return out
 
 
+def _path(chance: np.ndarray, ids: list[int], best: list[int]) -> list[int]:
+    """The likeliest languages of sentences in a row, at the price `CHANGE` for every change."""
+    if not ids or all(best[i] == best[ids[0]] for i in ids):
+        return [best[i] for i in ids]
+    score, back = chance[ids[0]], []
+    for i in ids[1:]:
+        top = int(score.argmax())
+        change = score[top] - CHANGE > score
+        back.append(np.where(change, top, np.arange(len(LANGUAGES))))
+        score = np.where(change, score[top] - CHANGE, score) + chance[i]
+    path = [int(score.argmax())]
+    for step in reversed(back):
+        path.append(int(step[path[-1]]))
+    return path[::-1]
+
+
 def text_languages(runs: list[tuple]) -> list[tuple[str, float]]:
     """(language, confidence) of a text with these stretches: its main language, by letters, and every
-    other with at least two whole sentences in a row."""
+    other with at least two whole sentences in a row that is likelier than not."""
     size: dict[str, int] = {}
     sure: dict[str, float] = {}
-    for _, _, c, p, _, n in runs:
+    for _, _, c, p, n, _ in runs:
         size[c] = size.get(c, 0) + n
         sure[c] = sure.get(c, 0.0) + p * n
     if not size:
         return []
     main = max(size, key=lambda c: (size[c], c))
-    firm = {c for _, _, c, p, k, n in runs if k >= 2 and n >= 24 and p >= 0.5}
+    firm = {c for _, _, c, p, _, several in runs if several and p >= 0.5}
     return sorted((c, round(sure[c] / size[c], 4)) for c in firm | ({main} if main in firm or not firm else set()))
 
 
@@ -249,18 +281,16 @@ def labelled_sample(docs: DataFrame, key: str, text: str, label: str, per_langua
     return [(r[0], r[1]) for r in named.where(draw < share).orderBy(draw).limit(2 * per_language * len(LANGUAGES)).select("t", "code").collect()]
 
 
-def language_segments(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 300) -> DataFrame:
+def language_segments(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 300, per_fit: int = 1500) -> DataFrame:
     """(key, start_pos, end_pos, lang, confidence) of every single-language stretch; positions are
     1-based code points, the end inclusive. Null texts and those with few letters have none."""
-    model = fit(labelled_sample(docs, key, text, label, per_language))
+    model = fit(labelled_sample(docs, key, text, label, per_language), per_fit=per_fit)
 
     def make():
         def work(rows):
-            for at in range(0, len(rows), 500):
-                part = rows[at : at + 500]
-                for (k, _), runs in zip(part, segments(model, [t for _, t in part])):
-                    for a, b, c, p, _, _ in runs:
-                        yield k, a + 1, b, c, p
+            for (k, _), runs in zip(rows, segments(model, [t for _, t in rows])):
+                for a, b, c, p, _, _ in runs:
+                    yield k, a + 1, b, c, p
 
         return work
 
@@ -268,23 +298,21 @@ def language_segments(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return map_texts(docs.select(key, text), make, f"{key} {kind}, start_pos bigint, end_pos bigint, lang string, confidence double")
 
 
-def document_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 300) -> DataFrame:
+def document_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 300, per_fit: int = 1500) -> DataFrame:
     """(key, lang, confidence, n_languages, label_lang): a row per language of each text.
 
     `label_lang` is what the label names, null if nothing known. A text without letters enough, or
     none of whose sentences can be told, has no row. Rows that repeat a key repeat its languages.
     Tables without any usable label can't be fitted on and are refused.
     """
-    model = fit(labelled_sample(docs, key, text, label, per_language))
+    model = fit(labelled_sample(docs, key, text, label, per_language), per_fit=per_fit)
 
     def make():
         def work(rows):
-            for at in range(0, len(rows), 500):
-                part = rows[at : at + 500]
-                for (k, code, _), runs in zip(part, segments(model, [r[2] for r in part])):
-                    found = text_languages(runs)
-                    for c, p in found:
-                        yield k, c, p, len(found), code
+            for (k, code, _), runs in zip(rows, segments(model, [r[2] for r in rows])):
+                found = text_languages(runs)
+                for c, p in found:
+                    yield k, c, p, len(found), code
 
         return work
 

@@ -153,6 +153,43 @@ def test_mixed_texts_need_two_sentences_in_a_row(model):
     assert [r[2] for r in runs] == ["en", "de"] and all(0 < r[3] <= 1 for r in runs)
 
 
+def test_short_sentences_make_a_stretch(model):
+    english = "The old train was late again this morning. My brother found the keys under the table. We never thought it would be so cheap. "
+    assert languages(model, english + "Он дома. Мы тоже.") == ["en", "ru"]
+    assert languages(model, english + "Wir hatten Pech. Es hat geregnet.") == ["de", "en"]
+    assert languages(model, english + "desk .... 70\nlamp ....") == ["en"]
+
+
+def test_the_fit_is_bounded_by_its_parameters(spark):
+    docs = spark.createDataFrame([(i, " ".join(SENTENCES[c]) + f" {c} {i}.", c, "s", "x", 1) for i in range(40) for c in SENTENCES], DOCS)
+    rows = L.labelled_sample(docs, "doc_id", "text", "lang", 5)
+    assert 0 < len(rows) <= 2 * 5 * len(L.LANGUAGES)
+    few = L.fit([(" ".join(SENTENCES[c]), c) for c in SENTENCES], per_fit=2)
+    assert [c for c, _ in L.text_languages(L.segments(few, [SENTENCES["ru"][0]])[0])] == ["ru"]
+
+
+def test_recurring_sentences_have_the_label_most_texts_give():
+    rows = [(" ".join(SENTENCES[c]), c) for c in SENTENCES for _ in range(3)] + [(" ".join(SENTENCES["de"]), "en")]
+    assert languages(L.fit(rows[::-1]), " ".join(SENTENCES["de"])) == ["de"]
+
+
+@pytest.mark.parametrize("text", ["word " * 100_000, "a. " * 100_000, "." * 300_000, "1 " * 300_000, "x" * 500_000])
+def test_long_texts_take_linear_time(model, text):
+    L.segments(model, [text])
+
+
+def test_pieces_are_bounded_by_bytes_and_rows():
+    import pyarrow as pa
+
+    from lexmill.llm.arrow import PIECE_BYTES, PIECE_ROWS, pieces
+
+    texts = ["x" * (PIECE_BYTES + 5), None, "a", "y" * (PIECE_BYTES - 10), "z" * 20, *["b"] * (2 * PIECE_ROWS)]
+    parts = list(pieces(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["k", "t"])))
+    assert [a for a, _ in parts[1:]] == [b for _, b in parts[:-1]] and parts[0] == (0, 1) and parts[-1][1] == len(texts)
+    assert all(b - a <= PIECE_ROWS and (b - a == 1 or sum(len(t or "") for t in texts[a:b]) <= PIECE_BYTES) for a, b in parts)
+    assert list(pieces(pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["t"]))) == []
+
+
 def test_language_edges(spark, model):
     assert L.segments(model, [None, "", "12345 !!!", "abc"]) == [[], [], [], []]
     assert languages(model, SENTENCES["en"][0] * 5000) == ["en"]
