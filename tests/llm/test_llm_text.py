@@ -5,12 +5,13 @@ import random
 import pytest
 
 from lexmill.llm.markup import clean, clean_markup, kinds, markup_kinds
-from lexmill.llm.personal_info import Finder, complete, mask_personal, personal_mentions
+from lexmill.llm import personal_info as P
+from lexmill.llm.personal_info import Finder, learnt_names, mask_personal, personal_mentions
 from lexmill.llm.reading_level import fit, reading_levels
 from lexmill.llm.text_quality import line_labels, text_statistics
 
 TEXTS = "rid bigint, post string, kind string, level int, text string"
-NAMES = [(g + e, "given") for g in ("Bren", "Cal", "Dor", "Fen") for e in ("elle", "on", "isa")][:-1] + [(s + e, "family") for s in ("Brack", "Crow", "Dray", "Moss") for e in ("worth", "isch", "ova")][:-1]
+NAMES = [(g + e, "given") for g in ("Bren", "Cal", "Dor", "Fen") for e in ("elle", "on", "isa")] + [(s + e, "family") for s in ("Brack", "Crow", "Dray", "Moss") for e in ("worth", "isch", "ova")]
 
 
 @pytest.fixture(scope="module")
@@ -18,9 +19,48 @@ def finder():
     return Finder(NAMES)
 
 
-def test_names_are_completed():
-    assert {"fenisa", "mossova"} <= complete(n for n, _ in NAMES)
-    assert complete(["Anna", None, ""]) == {"anna"}
+def test_names_are_learnt_from_the_texts(spark):
+    listed = [("Anna", "given"), ("Paul", "given"), ("Miller", "family"), ("Stone", "family")]
+    texts = [
+        "Anna Quimby told me.", "ask Paul Quimby, he knows", "Mr. Drax was here", "Anna Drax too", "Vera Miller and", "then Vera Stone left", "Paul said so", "Anna said it", "Paul Never again",
+        "Anna Never again", "never never never never never never never never never never never never never never never never never never never", "Anna Once only", None, "", "Anna\nQuimby",
+    ]
+    df = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in enumerate(texts)], TEXTS)
+    assert set(learnt_names(df, listed)) == {("quimby", "family"), ("drax", "family"), ("vera", "given")}
+    assert learnt_names(df.where("false"), listed) == learnt_names(df, []) == []
+    names = spark.createDataFrame(listed, "name string, kind string")
+    found = {(r.rid, r.start_pos) for r in personal_mentions(df.where("rid < 6"), names).collect()}
+    assert found == {(0, 1), (1, 5), (2, 5), (3, 1), (4, 1), (5, 6)}
+    assert {(r.rid, r.start_pos) for r in personal_mentions(df.where("rid < 6"), names, learn=False).collect()} == {(4, 6), (5, 11)}
+
+
+def test_bounds_refuse_loudly(spark, monkeypatch):
+    names = spark.createDataFrame(NAMES, "name string, kind string")
+    df = spark.createDataFrame([(1, "Brenelle Quimby, Fenisa Quimby, Calon Drax, Doron Drax", "x", 1, "y")], TEXTS)
+    monkeypatch.setattr(P, "MAX_NAMES", 1)
+    with pytest.raises(ValueError):
+        learnt_names(df, NAMES)
+    with pytest.raises(ValueError):
+        personal_mentions(df, names)
+    monkeypatch.undo()
+    monkeypatch.setattr(P, "MAX_PLACEHOLDERS", 1)
+    with pytest.raises(ValueError):
+        mask_personal(df, names, spark.createDataFrame([("email", "[E]"), ("name", "[N]")], "kind string, placeholder string"))
+
+
+@pytest.mark.parametrize(
+    "lead, mention, kind",
+    [
+        ("Write to ", "x" * 120 + "@mail.example", "email"), ("Write to ", "a." * 5_000 + "b@mail.example", "email"), ("signed by ", "Brenelle " * 40 + "Crowova", "name"),
+        ("lives at ", "12 " + "Q" + "u" * 80 + " Road", "address"), ("near ", "C/ " + "Olmo" * 30 + " 185", "address"),
+    ],
+)
+def test_long_mentions_are_whole(finder, lead, mention, kind):
+    assert finder.mentions(lead + mention + ", they say") == [(kind, len(lead), len(lead + mention))]
+
+
+def test_order_words_count_however_long(finder):
+    assert finder.mentions("bestellnummernverzeichniseintrag nr 07700 900179") == []
 
 
 @pytest.mark.parametrize(
