@@ -132,6 +132,36 @@ def test_markup_kinds(text, want):
     assert kinds(text) == want
 
 
+LONG = "7 x + " * 600
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (f"we get \\[ {LONG} = 0 \\] from the sum", ["latex"]), (f"we get \\( {LONG} \\) from the sum", ["latex"]), (f"we get $${LONG}= 0$$ from the sum", ["latex"]),
+        (f"we get ${LONG}= 0$ from the sum", ["latex"]), (f"they said ``{LONG}'' about the sum", ["latex"]), (f"A heading of many words {LONG}\n=====\nIt left at noon", ["markdown"]),
+    ],
+)
+def test_markup_of_any_length(text, want):
+    assert len(text) > 2001 and kinds(text) == want
+
+
+@pytest.mark.parametrize("text", [x * 50_000 + " three plain words" for x in ("<!--", "<pre>", "\\[", "\\(\n", "$$", "$a ", "{{", "```\n", "<script>", "\\begin{verbatim}", "``a", "&", "''a ")])
+def test_unclosed_markup_takes_linear_time(text):
+    kinds(text), clean(text)
+
+
+def test_what_is_opened_and_never_closed():
+    assert kinds("<pre>three plain words here") == ["html"] and kinds("we had \\[ three plain words") == [] and kinds("```\nthree plain words") == []
+
+
+def test_the_region_decides():
+    far = "~#_ ^^ $$ ## **x** " + "@@ ~~ ^^ || " * 6
+    assert kinds("We left the harbour at noon and came home late. " + far) == []
+    assert kinds("We left the <b>harbour</b> at noon and came home late.") == ["html"]
+    assert kinds("<b>~#_ ^^ $$</b>") == kinds("<i></i>") == []
+
+
 def test_structure_is_kept():
     html = "<nav><a href='/'>Home</a></nav><h2>Soup</h2><p>Cut the onions &amp; fry them.</p><ul><li>salt</li><li>two eggs</li></ul><pre><code>x &lt; 5</code></pre><script>track(1)</script>"
     out = clean(html)
