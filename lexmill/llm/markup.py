@@ -284,12 +284,12 @@ def around(parts: list[tuple[str, str]]) -> tuple[int, int, int]:
 
 
 def _reach(parts: list[tuple[str, str]]) -> int:
-    """How many of the tokens beside the region, nearest first, belong to it: those up to a part of the page
-    or a menu, without what shows nothing at the far end. A lone link or a short sentence weighs less than
+    """How many of the tokens beside the region, nearest first, belong to it: those up to a part of the page,
+    a menu or noise, without what shows nothing at the far end. A lone link or a short sentence weighs less than
     the markup around it, but its words are content."""
     reach, links, menu, inside = 0, 0, 0, False
     for i, (name, source) in enumerate(parts):
-        if name == "html_tag" and _LIMITS.match(source):
+        if name == "html_tag" and _LIMITS.match(source) or name == "text" and len(_NOISE.findall(source)) > len(_WORD.findall(source)):
             break
         shown = source if name == "text" else plain(name, source)
         link = name in ("md_link", "wiki_url")
