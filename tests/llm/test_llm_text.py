@@ -156,8 +156,8 @@ def test_what_is_opened_and_never_closed():
 
 
 def test_the_region_decides():
-    far = "~#_ ^^ $$ ## **x** " + "@@ ~~ ^^ || " * 6
-    assert kinds("We left the harbour at noon and came home late. " + far) == []
+    far = " ~#_ ^^ ## @@ ~~ ^^ || ^^ @@ `x`"
+    assert kinds("We left the harbour at noon and came home late.<b></b>" + far) == ["html"]
     assert kinds("We left the <b>harbour</b> at noon and came home late.") == ["html"]
     assert kinds("<b>~#_ ^^ $$</b>") == kinds("<i></i>") == []
 
