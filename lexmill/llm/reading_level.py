@@ -1,13 +1,13 @@
 """Reading level of texts from the grades at which their words are acquired.
 
 A word's grade is the point of the scale by which a set share of its use in the graded samples is
-reached, each level weighed alike. A
-text's mark is a quantile of its known words' grades, by occurrence; its level is where the mark
-falls between cut points. Which quantile is used and where the cut points lie is calibrated on the
-samples, each marked with grades from which its own words were taken out.
-
-Texts the samples know too little of get an estimate instead: the grades of unknown words are told
-from their length and affixes, by a ridge regression on the known words.
+reached, each level weighed alike. The few samples know only some of the words in use: the grades of
+others are told from their length and affixes, by a ridge regression on the known words whose results
+are stretched to the spread of the known grades. A text's mark is a quantile of its words' grades, by
+occurrence; its level is where the mark falls between cut points. Which quantile is used and where the
+cut points lie is calibrated on the samples, each marked with grades from which its own words were
+taken out. A level is sure where the samples know enough of a text's words to tell that it is in
+their language; other texts have an estimate with a lower confidence.
 
 Fitting is done on the driver over a bounded table of samples (`max_samples`); scoring is row-local,
 whole Arrow batches at once, so nothing is shuffled.
@@ -27,8 +27,8 @@ from .arrow import map_texts
 QUANTILES = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8)
 #: A word counts as acquired at the grade by which this share of its use is reached.
 ACQUIRED = 0.3
-#: A text's level is sure if it has this many known words and they are this share of its words.
-LEAST_KNOWN, LEAST_SHARE = 5, 0.4
+#: A text's level is sure if it has this many words and the samples know this share of them.
+LEAST_WORDS, LEAST_SHARE = 5, 0.1
 #: Longer words are guessed as words of this length.
 LONGEST = 16
 #: Weight of the penalty when unknown words' grades are fitted.
@@ -52,15 +52,18 @@ def _traits(word: str) -> tuple[str, ...]:
 
 @dataclass(frozen=True)
 class Guess:
-    """Grades of unknown words; `onto` takes a text's mean of them to the scale of the marks."""
+    """Grades of unknown words: a sum over their traits, taken from where it lies among `told` to the same place
+    among `spread`."""
 
     base: float
     slope: float
     parts: dict[str, float]
-    onto: tuple[float, float]
+    told: np.ndarray
+    spread: np.ndarray
 
-    def word(self, word: str) -> float:
-        return self.base + self.slope * min(len(word), LONGEST) + sum(self.parts.get(t, 0.0) for t in _traits(word))
+    def words(self, words: list[str]) -> np.ndarray:
+        sums = [self.base + self.slope * min(len(w), LONGEST) + sum(self.parts.get(t, 0.0) for t in _traits(w)) for w in words]
+        return np.interp(np.array(sums, float), self.told, self.spread)
 
 
 @dataclass(frozen=True)
@@ -73,53 +76,34 @@ class Levels:
     lowest: int
     guess: Guess
 
-    def marks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(mark, share of known words) of each text; the mark is nan where it has too few."""
-        array = pa.array(texts, pa.large_string())
-        ends, codes, words = _words(array)
-        grade = np.array([self.grades.get(w, np.nan) for w in words] or [np.nan])[codes]
-        real = np.array([w != "" for w in words] or [False])[codes]
-        text = np.repeat(np.arange(len(texts)), np.diff(ends))
-        known = ~np.isnan(grade)
-        n_known = np.bincount(text[known], minlength=len(texts))
-        share = n_known / np.maximum(np.bincount(text[real], minlength=len(texts)), 1)
-        order = np.lexsort((grade[known], text[known]))
-        ordered = grade[known][order]
-        first = np.concatenate(([0], np.cumsum(n_known)))[:-1]
-        out = np.full(len(texts), np.nan)
-        enough = (n_known >= LEAST_KNOWN) & (share >= LEAST_SHARE)
-        at = first + np.floor(self.quantile * np.maximum(n_known - 1, 0)).astype(int)
-        out[enough] = ordered[at[enough]]
-        return out, share
-
-    def estimates(self, texts: list[str], marked: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int | None, float | None]]:
-        """(level, confidence) of each text that has words, or nulls; `marked` is what `marks` gave. The confidence is the share of known
-        words; where the mark is not sure it is scaled down by what is missing of `LEAST_KNOWN`."""
-        marks, share = (x.copy() for x in marked or self.marks(texts))
-        confidence = share.copy()
-        few = np.flatnonzero(np.isnan(marks))
-        ends, codes, words = _words(pa.array([texts[i] for i in few], pa.large_string()))
+    def marks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(mark, share of known words, number of words) of each text; the mark is nan where it has none."""
+        ends, codes, words = _words(pa.array(texts, pa.large_string()))
         known = np.array([self.grades.get(w, np.nan) for w in words] or [np.nan])
-        unknown = np.array([self.guess.word(w) if w else np.nan for w in words] or [np.nan])
-        a, b = self.guess.onto
-        for i, start, end in zip(few, ends[:-1], ends[1:]):
-            run = codes[start:end]
-            run = run[~np.isnan(unknown[run])]
-            if not len(run):
-                continue
-            graded = np.sort(known[run][~np.isnan(known[run])])
-            marks[i] = a + b * unknown[run].mean()
-            if len(graded):
-                marks[i] += share[i] * (graded[int(self.quantile * (len(graded) - 1))] - marks[i])
-            confidence[i] *= min(1.0, len(graded) / LEAST_KNOWN)
-        level = self.lowest + np.searchsorted(np.array(self.cuts), marks, side="right")
-        return [(None, None) if np.isnan(m) else (int(v), round(float(c), 6)) for v, c, m in zip(level, confidence, marks)]
+        new = [i for i, w in enumerate(words) if w and w not in self.grades]
+        grade = known.copy()
+        grade[new] = self.guess.words([words[i] for i in new])
+        text, grade, known = np.repeat(np.arange(len(texts)), np.diff(ends)), grade[codes], known[codes]
+        real = ~np.isnan(grade)
+        n = np.bincount(text[real], minlength=len(texts))
+        share = np.bincount(text[~np.isnan(known)], minlength=len(texts)) / np.maximum(n, 1)
+        ordered = grade[real][np.lexsort((grade[real], text[real]))]
+        at = np.concatenate(([0], np.cumsum(n)))[:-1] + np.floor(self.quantile * np.maximum(n - 1, 0)).astype(int)
+        out = np.full(len(texts), np.nan)
+        out[n > 0] = ordered[at[n > 0]]
+        return out, share, n
 
-    def levels(self, texts: list[str], marked: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int | None, float | None]]:
-        """(level, mark) of each text, or nulls."""
-        marks, _ = marked or self.marks(texts)
+    def levels(self, texts: list[str]) -> list[tuple[int | None, float | None, int | None, float | None]]:
+        """(level, mark, estimate, confidence) of each text. Level and mark are null where they aren't sure; the
+        estimate is null without a word. The confidence is the share of known words, less for few words."""
+        marks, share, n = self.marks(texts)
         level = self.lowest + np.searchsorted(np.array(self.cuts), marks, side="right")
-        return [(None, None) if np.isnan(m) else (int(v), round(float(m), 6)) for v, m in zip(level, marks)]
+        sure = (n >= LEAST_WORDS) & (share >= LEAST_SHARE)
+        confidence = share * np.minimum(1.0, n / LEAST_WORDS)
+        return [
+            (None,) * 4 if np.isnan(m) else ((int(v), round(float(m), 6)) if s else (None, None)) + (int(v), round(float(c), 6))
+            for v, m, s, c in zip(level, marks, sure, confidence)
+        ]
 
 
 def _grades(has: np.ndarray, sizes: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -170,12 +154,12 @@ def fit(samples: list[tuple[str, int]]) -> Levels:
     if cuts is None:
         raise ValueError("the samples don't tell their levels apart")
     grades = {w: float(g) for w, g in zip(words, _grades(has, sizes, scale)) if w}
-    return Levels(grades, quantile, cuts, int(scale[0]), _guess(grades, [[words[c] for c in run if words[c]] for run in runs], marks[:, QUANTILES.index(quantile)]))
+    return Levels(grades, quantile, cuts, int(scale[0]), _guess(grades))
 
 
-def _guess(grades: dict[str, float], texts: list[list[str]], marks: np.ndarray) -> Guess:
-    """How unknown words are graded. Each word's part in the line from means to marks is its grade as told
-    by the other words (leave-one-out), as unknown words are never in the fit."""
+def _guess(grades: dict[str, float]) -> Guess:
+    """How unknown words are graded. What the known words' traits tell of each of them is taken without the word
+    itself (leave-one-out), as unknown words are never in the fit."""
     words = sorted(grades)
     traits = [_traits(w) for w in words]
     column = {t: i + 2 for i, t in enumerate(sorted({t for ts in traits for t in ts}))}
@@ -191,23 +175,17 @@ def _guess(grades: dict[str, float], texts: list[list[str]], marks: np.ndarray)
     kernel = z @ z.T
     solved = np.linalg.solve(kernel + RIDGE * np.eye(len(words)), np.column_stack([y - middle, kernel]))
     weight, hat = z.T @ solved[:, 0], np.diag(solved[:, 1:]) + 1 / len(words)
-    told = middle + z @ weight
-    alone = dict(zip(words, y - (y - told) / np.maximum(1 - hat, 1e-6)))
-    means = np.array([np.mean([alone[w] for w in t]) if t else np.nan for t in texts])
-    real = ~np.isnan(means) & ~np.isnan(marks)
-    spread = np.var(means[real]) if real.any() else 0.0
-    b = float(max(0.0, np.cov(means[real], marks[real], bias=True)[0, 1] / spread)) if spread > 0 else 0.0
-    a = float(marks[real].mean() - b * means[real].mean()) if real.any() else middle
-    return Guess(float(middle - centre @ weight), float(weight[0]), {t: float(weight[i - 1]) for t, i in column.items()}, (a, b))
+    alone = y - (y - middle - z @ weight) / np.maximum(1 - hat, 1e-6)
+    return Guess(float(middle - centre @ weight), float(weight[0]), {t: float(weight[i - 1]) for t, i in column.items()}, np.sort(alone), np.sort(y))
 
 
 def reading_levels(texts: DataFrame, samples: DataFrame, key: str = "rid", text: str = "post", max_samples: int = 20_000) -> DataFrame:
     """(key, level, mark, estimate, confidence) of each input row, on the scale of `samples` (text, level).
 
-    Level and mark are null for null, empty and very short texts and for those most of whose words
-    the samples don't know (other languages, symbols). The estimate is the level where there is one and
-    else told from the words' form, with a low confidence (0 to 1); it is null only for texts without a
-    word. `max_samples` bounds the table that is fitted on; a larger one is refused. Levels are taken to
+    Level and mark are null for null, empty and very short texts and for those next to none of whose
+    words the samples know (other languages, symbols). The estimate is the level where there is one and
+    else told in the same way with a low confidence (0 to 1); it is null only for texts without a word.
+    `max_samples` bounds the table that is fitted on; a larger one is refused. Levels are taken to
     be consecutive whole numbers.
     """
     rows = samples.select("text", "level").dropna().limit(max_samples + 1).collect()
@@ -217,12 +195,8 @@ def reading_levels(texts: DataFrame, samples: DataFrame, key: str = "rid", text:
 
     def make():
         def work(rows):
-            for i in range(0, len(rows), 2000):
-                part = rows[i : i + 2000]
-                read = [t or "" for _, t in part]
-                marked = scale.marks(read)
-                for (k, _), row, estimate in zip(part, scale.levels(read, marked), scale.estimates(read, marked)):
-                    yield k, *row, *estimate
+            for (k, _), row in zip(rows, scale.levels([t or "" for _, t in rows])):
+                yield k, *row
 
         return work
 

@@ -226,10 +226,23 @@ def test_words_never_seen_are_graded_by_their_form():
     rng = random.Random(5)
     words = {v: ["".join(rng.choice("bdklmnrst") + rng.choice("aeiou") for _ in range(v)) + ("" if v < 3 else "tion" if v == 5 else "er") for _ in range(60)] for v in range(1, 6)}
     scale = fit([(" ".join(rng.choices(words[v][:30], k=40)), v) for v in range(1, 6) for _ in range(12)])
-    told = [scale.estimates([" ".join(rng.choices([w for w in words[v][30:] if w not in scale.grades], k=40))])[0] for v in range(2, 6)]
+    told = [scale.levels([" ".join(rng.choices([w for w in words[v][30:] if w not in scale.grades], k=40))])[0][2:] for v in range(2, 6)]
     assert [round(c, 6) for _, c in told] == [0] * 4 and all(abs(level - v) <= 1 for (level, _), v in zip(told, range(2, 6))) and told[0][0] < told[-1][0]
 
 
+def test_a_style_the_samples_lack():
+    """Texts of the top level whose words no sample has, told apart by the form of the words."""
+    rng = random.Random(8)
+    hard = lambda: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(4)) + rng.choice(["tion", "ism", "ence", "ical"])
+    easy = lambda: rng.choice("bcdfglmnprstv") + rng.choice("aeiou") + rng.choice("bdgnpt")
+    pools = {1: [easy() for _ in range(60)], 2: [easy() + easy() for _ in range(60)], 3: [hard() for _ in range(60)]}
+    shared = ["the", "and", "of", "is"]
+    text = lambda pool: " ".join(rng.choice(shared) if rng.random() < 0.3 else rng.choice(pool) for _ in range(40))
+    scale = fit([(text(pools[v]), v) for v in pools for _ in range(12)])
+    right = [scale.levels([text([hard() for _ in range(60)])])[0][0] == 3 for _ in range(20)] + [scale.levels([text([easy() for _ in range(60)])])[0][0] != 3 for _ in range(20)]
+    assert sum(right) >= 36
+
+
 def test_level_edges(spark):
     text = graded()
     samples = spark.createDataFrame([(text(v), v) for v in range(1, 6) for _ in range(8)] + [(None, 1), ("x", None)], "text string, level int")
