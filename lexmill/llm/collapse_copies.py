@@ -1,7 +1,7 @@
 """Records that differ only in spacing, case, punctuation or field order, collapsed into one each.
 
-Stage 1 groups byte-identical raw rows (map-side combination takes hot copies down to one row per
-task). Stage 2 canonicalises only the distinct survivors and groups them on the full canonical
+Repeated deliveries of a record are dropped first, without moving the others. Stage 1 groups
+byte-identical raw rows (map-side combination takes hot copies down to one row per task). Stage 2 canonicalises only the distinct survivors and groups them on the full canonical
 text. Who belongs to which group is then carried by digests of the same texts, so that the joins
 back move 32 bytes a row instead of texts; AQE splits the partitions of hot groups, whose other
 side is one row per group.
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import distinct_deliveries
+
 LETTER_OR_DIGIT = r"[\p{L}\p{Nd}]"
 
 
@@ -50,7 +52,8 @@ def collapse_copies(records: DataFrame, key: str = "rid", author: str = "author_
     text is null, or whose author or text has no letter or digit, are no records and are left out.
     Null attrs equal only null attrs. Repeated deliveries of a key count once.
     """
-    raw = _rows(records, key, author, text, attrs).groupBy("_a", "_t", "_j").agg(F.min("_id").alias("first"), F.count_distinct("_id").alias("n"))
+    rows = distinct_deliveries(_rows(records, key, author, text, attrs), "_id")
+    raw = rows.groupBy("_a", "_t", "_j").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n"))
     return (
         _survivors(raw)
         .groupBy("ca", "ct", "cj")

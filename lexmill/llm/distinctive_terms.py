@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import one_delivery
+from .tables import one_per_key
 
 #: What separates tokens, and what a token may hold.
 NON_WORD = r"[^\p{L}\p{N}_]+"
@@ -29,7 +29,7 @@ def ascii_terms(text: Column, min_len: int) -> Column:
 
 def term_counts(records: DataFrame, key: str = "rid", text: str = "post", min_len: int = 2) -> DataFrame:
     """(key, term, tf) of every record: aggregation 1."""
-    once = one_delivery(records.select(key, text), key, text)
+    once = one_per_key(records.select(key, text), key, text)
     return (
         once.select(key, F.explode(ascii_terms(F.col(text), min_len)).alias("term"))
         .groupBy(key, "term")

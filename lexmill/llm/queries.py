@@ -12,7 +12,7 @@ from .markup import clean_markup, markup_kinds
 from .mixing import mix, mix_report
 from .personal_info import mask_personal, personal_mentions
 from .reading_level import reading_levels
-from .tables import documents, one_delivery, posts, table
+from .tables import documents, one_delivery, one_per_key, posts, table
 from .text_quality import line_labels, text_statistics
 from .tokenize import count_tokens, encode_texts
 
@@ -43,8 +43,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = one_delivery(posts(spark, sf_dir), "rid", "post")
-    levels = reading_levels(texts, table(spark, sf_dir, "reading_samples"))
+    levels = one_per_key(reading_levels(posts(spark, sf_dir), table(spark, sf_dir, "reading_samples")), "rid", "level", "mark", "estimate", "confidence")
     return levels.groupBy(F.col("estimate").alias("level")).agg(
         F.count(F.lit(1)).alias("n_posts"), F.round(F.avg("mark"), 4).alias("mean_mark"), F.count("level").alias("n_sure"), F.round(F.avg("confidence"), 4).alias("mean_confidence")
     )
@@ -74,7 +73,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = text_statistics(one_delivery(posts(spark, sf_dir), "rid", "post"), table(spark, sf_dir, "common_words"))
+    stats = text_statistics(posts(spark, sf_dir), table(spark, sf_dir, "common_words"))
+    stats = one_per_key(stats, "rid", *(c for c in stats.columns if c != "rid"))
     ratios = ("mean_word_len", "symbol_ratio", "end_punct_share", "common_share", "distinct_share")
     return stats.withColumns({c: F.round(c, 6) for c in ratios})
 

@@ -97,3 +97,18 @@ def test_empty_and_bad_json(spark):
     df = spark.createDataFrame([(1, "a", "b", "{bad", 0, 0), (2, "A", "B!", "{bad ", 0, 0), (3, "a", "b", "{worse", 0, 0)], COPIES)
     assert [tuple(r) for r in copy_members(df).collect()] == [(1, 2)]
     assert copy_members(df.where("false")).count() == collapse_copies(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("words", [1, 1 << 10])
+def test_deliveries_once(spark, monkeypatch, words):
+    from lexmill.llm import tables
+
+    monkeypatch.setattr(tables, "FILTER_WORDS", words)
+    rng = random.Random(3)
+    rows = [(i if i % 9 else None, f"text {i}", f"{k}") for i in range(300) for k in range(rng.choice([1, 1, 1, 2, 5]))]
+    df = spark.createDataFrame(rows, "rid bigint, post string, loaded_at string")
+    want = sorted({(r, p) for r, p, _ in rows if r is not None})
+    assert sorted(map(tuple, tables.one_delivery(df, "rid", "post").collect())) == want
+    assert sorted(map(tuple, tables.distinct_deliveries(df.select("rid", "post"), "rid").collect())) == want
+    assert tables.one_delivery(df.where("false"), "rid", "post").count() == 0
+    assert sorted(map(tuple, tables.one_per_key(df.select("rid", "post"), "rid", "post").collect())) == want
