@@ -8,9 +8,11 @@ of all sources among the output shards down a binary tree of multivariate hyperg
 that every shard is a fair sample and the totals are exact. Each shard then takes its blocks from the
 sources' permuted lists and shuffles its documents by itself.
 
-Documents are counted once, then only (id, source, block, tokens) moves: one broadcast join with the
-plan (its size is bounded by the blocks) and one window per shard. The one block of a pass that is
-taken in part is cut by a running sum inside that block.
+Documents are counted once, then only (id, source, block, tokens) moves: one join with the plan and one
+window per cell, a cell being a shard's share of one hash range of its documents' order. The number of
+shards grows with the tokens, a shard's cells with its documents, so no task ever sorts more than a
+bounded number of rows; a document's place in its shard is the size of the cells before its own plus its
+place in it. The one block of a pass that is taken in part is cut by a running sum inside that block.
 """
 
 from __future__ import annotations
@@ -26,8 +28,11 @@ from lexmill.session import cut
 
 from .tokenize import count_tokens
 
-#: Bounds of the plan: blocks of a source, documents a block has at least on average, rows of the target table, shards.
-MAX_BLOCKS, BLOCK_DOCS, MAX_TARGETS, SHARDS = 1024, 64, 2000, 16
+#: Bounds of the plan: blocks of a source, documents a block has at least on average, rows of the target table, rows of
+#: the plan itself (blocks times repeats) and those of them that are broadcast.
+MAX_BLOCKS, BLOCK_DOCS, MAX_TARGETS, MAX_PLAN, BROADCAST_PLAN = 1024, 64, 2000, 2_000_000, 100_000
+#: Tokens of a shard, shards at least and at most, and documents a cell has on average.
+SHARD_TOKENS, SHARDS, MAX_SHARDS, CELL_DOCS = 1 << 27, 16, 4096, 1 << 18
 _LIMIT = "mix_name string, source string, block int, copy int, take bigint, shard int"
 
 
@@ -40,26 +45,30 @@ def split_tree(counts: np.ndarray, sizes: list[int], rng: np.random.Generator) -
     return split_tree(left, sizes[:half], rng) + split_tree(counts - left, sizes[half:], rng)
 
 
-def plan_mix(blocks: dict[str, list[tuple[int, int]]], targets: list[tuple[str, float, int]], shards: int, rng: np.random.Generator, total: float | None = None) -> list[tuple]:
-    """(source, block, copy, take, shard) of one mixture; take is null for a whole block, else the
-    tokens wanted of it.
+def amounts(blocks: dict[str, list[tuple[int, int]]], targets: list[tuple[str, float, int]], total: float | None = None) -> list[tuple[str, int, int, float]]:
+    """(source, tokens it has, most repeats, tokens wanted of it) of one mixture.
 
     `blocks` has (block, tokens) by source, `targets` (source, share, most repeats). Sources without
     tokens are left out and the other shares scaled up. Without `total` the mixture is as large as it
-    can be with every share met; with a larger one, sources that run out give all they may.
-    """
-    live = [(s, share, int(most)) for s, share, most in targets if share > 0 and most > 0 and sum(t for _, t in blocks.get(s, ())) > 0]
+    can be with every share met; with a larger one, sources that run out give all they may."""
+    own = {s: sum(t for _, t in blocks.get(s, ())) for s, _, _ in targets}
+    live = [(s, share, int(most)) for s, share, most in targets if share > 0 and most > 0 and own[s] > 0]
+    whole = sum(share for _, share, _ in live)
+    size = total if total is not None else min((own[s] * most / (share / whole) for s, share, most in live), default=0)
+    return [(s, own[s], most, min(size * share / whole, own[s] * most)) for s, share, most in live]
+
+
+def plan_mix(blocks: dict[str, list[tuple[int, int]]], targets: list[tuple[str, float, int]], shards: int, rng: np.random.Generator, total: float | None = None) -> list[tuple]:
+    """(source, block, copy, take, shard) of one mixture (see `amounts`); take is null for a whole block, else
+    the tokens wanted of it."""
+    live = amounts(blocks, targets, total)
     if not live:
         return []
-    whole = sum(share for _, share, _ in live)
-    own = {s: sum(t for _, t in blocks[s]) for s, _, _ in live}
-    size = min(own[s] * most / (share / whole) for s, share, most in live) if total is None else total
     draws: dict[str, list[tuple[int, int, int | None]]] = {}
-    for s, share, most in live:
-        wanted = min(size * share / whole, own[s] * most)
-        passes = min(most, int(wanted / own[s] + 1e-9))
+    for s, own, most, wanted in live:
+        passes = min(most, int(wanted / own + 1e-9))
         some = [(b, k, None) for k in range(passes) for b, _ in blocks[s]]
-        rest = wanted - passes * own[s]
+        rest = wanted - passes * own
         for i in rng.permutation(len(blocks[s])) if passes < most and rest >= 1 else ():
             b, t = blocks[s][i]
             some.append((b, passes, None if t <= rest else int(rest)))
@@ -79,10 +88,12 @@ def plan_mix(blocks: dict[str, list[tuple[int, int]]], targets: list[tuple[str,
     return out
 
 
-def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 42, shards: int = SHARDS, total: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 42, shards: int | None = None, total: float | None = None) -> DataFrame:
     """(mix_name, source, key, copy, n_tokens, shard, pos): the documents of every mixture.
 
     copy counts a document's uses from 0 on and stays below max_repeats; pos is the place in the shard.
+    Without `shards` a mixture has one for every `SHARD_TOKENS` tokens, `SHARDS` at least. A plan of more than `MAX_PLAN` rows
+    (blocks times repeats) is refused.
     Documents with a null key or source, and those without tokens (null or empty texts), belong to no
     mixture. A key that occurs more than once is one document (its largest text). Targets that name no
     documents give none; repeated (mix_name, source) targets are added up. The same seed gives the
@@ -107,17 +118,32 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str =
     blocks: dict[str, list[tuple[int, int]]] = {}
     for s, b, t in placed.groupBy("source", "block").agg(F.sum("n_tokens")).orderBy("source", "block").collect():
         blocks.setdefault(s, []).append((b, t))
-    plan = []
+    plan, cells = [], {}
     for i, name in enumerate(sorted(wanted)):
         rng = np.random.default_rng([seed, i])
-        rows = plan_mix(blocks, [(s, *v) for s, v in sorted(wanted[name].items())], shards, rng, total)
+        aims = [(s, *v) for s, v in sorted(wanted[name].items())]
+        wanting = amounts(blocks, aims, total)
+        if len(plan) + sum(len(blocks[s]) * math.ceil(want / own) for s, own, _, want in wanting) > MAX_PLAN:
+            raise ValueError(f"the plan would have more than {MAX_PLAN} rows: lower max_repeats, or give a total")
+        n = shards or min(MAX_SHARDS, max(SHARDS, math.ceil(sum(want for *_, want in wanting) / SHARD_TOKENS)))
+        rows = plan_mix(blocks, aims, n, rng, total)
         plan += [(name, *r) for r in rows]
-    drawn = placed.join(F.broadcast(spark.createDataFrame(plan, _LIMIT)), ["source", "block"])
+        used = sum(n_docs[r[0]] / n_blocks[r[0]] for r in rows)
+        cells[name] = max(1, math.ceil(used / n / CELL_DOCS))
+    drawn_plan = spark.createDataFrame(plan, _LIMIT)
+    drawn = placed.join(F.broadcast(drawn_plan) if len(plan) <= BROADCAST_PLAN else drawn_plan, ["source", "block"])
     within = W.partitionBy("mix_name", "source", "block", "copy").orderBy("rank", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
     part = drawn.where("take is not null and n_tokens <= take").withColumn("sum", F.sum("n_tokens").over(within)).where("sum - n_tokens / 2 <= take").drop("sum")
-    chosen = drawn.where("take is null").unionByName(part)
-    order = W.partitionBy("mix_name", "shard").orderBy(F.xxhash64(F.lit(seed + 2), F.col("mix_name"), F.col("id"), F.col("copy")), "id", "copy")
-    return chosen.select("mix_name", "source", F.col("id").alias(key), "copy", "n_tokens", "shard", (F.row_number().over(order) - 1).alias("pos"))
+    order = F.xxhash64(F.lit(seed + 2), F.col("mix_name"), F.col("id"), F.col("copy"))
+    many = F.coalesce(*(F.when(F.col("mix_name") == m, F.lit(float(k))) for m, k in sorted(cells.items())), F.lit(1.0))
+    # cells are ranges of the order's hash, so that places follow from the sizes of the cells before
+    chosen = drawn.where("take is null").unionByName(part).withColumn("order", order)
+    chosen = cut(chosen.withColumn("cell", F.least(F.floor((F.col("order") / F.lit(2.0**64) + 0.5) * many), many - 1).cast("int")).drop("take", "rank", "block"))
+    before = W.partitionBy("mix_name", "shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    sizes = chosen.groupBy("mix_name", "shard", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = W.partitionBy("mix_name", "shard", "cell").orderBy("order", "id", "copy")
+    ranked = chosen.withColumn("at", F.row_number().over(inside) - 1).join(sizes, ["mix_name", "shard", "cell"])
+    return ranked.select("mix_name", "source", F.col("id").alias(key), "copy", "n_tokens", "shard", (F.col("base") + F.col("at")).alias("pos"))
 
 
 def mix_report(mixed: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFrame:

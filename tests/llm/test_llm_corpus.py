@@ -109,6 +109,36 @@ def test_mixtures(spark):
     assert all(r.most_used <= r.max_repeats for r in report.values())
 
 
+def test_cells_change_nothing(spark, monkeypatch):
+    from lexmill.llm import mixing as X
+
+    docs, targets = mixing(spark)
+    want = sorted(mix(docs, targets).collect(), key=repr)
+    monkeypatch.setattr(X, "CELL_DOCS", 5)
+    monkeypatch.setattr(X, "BROADCAST_PLAN", 0)
+    assert sorted(mix(docs, targets).collect(), key=repr) == want
+
+
+def test_shards_grow_with_the_tokens(spark, monkeypatch):
+    from lexmill.llm import mixing as X
+
+    monkeypatch.setattr(X, "SHARD_TOKENS", 500)
+    docs, targets = mixing(spark)
+    assert mix(docs, targets).select("shard").distinct().count() > X.SHARDS
+
+
+def test_many_repeats_are_planned_or_refused(spark, monkeypatch):
+    from lexmill.llm import mixing as X
+
+    docs, _ = mixing(spark)
+    targets = spark.createDataFrame([("m", "big", 0.5, 10**9), ("m", "small", 0.5, 40)], "mix_name string, source string, target_share double, max_repeats int")
+    rows = mix(docs, targets).where("source = 'small'").groupBy("doc_id").count().collect()
+    assert {r["count"] for r in rows} == {40}
+    monkeypatch.setattr(X, "MAX_PLAN", 50)
+    with pytest.raises(ValueError):
+        mix(docs, targets)
+
+
 def test_no_documents_for_a_mixture(spark):
     docs, targets = mixing(spark)
     assert mix(docs.where("false"), targets).count() == 0
