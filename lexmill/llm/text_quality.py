@@ -31,37 +31,37 @@ LEAST_CHARS = 20
 #: Labelled texts, one line each as `label|line`; an empty line ends a text. \\t stands for a tab.
 LABELLED = """\
 prose|My aunt and our postman carried the same ladder, it was kind of a disaster.
-prose|Has anybody tried it? Please do not ask why I painted the fence last night. Never again!
+prose|Did you hear that noise? Better not tell them who left the gate open last week. Once was enough!
 prose|the train was late and then we ran out of time so i went home and made a soup
 
 prose|Everyone says the cold soup from the corner is better though the power went out
 prose|I think my brother planted the new hedge since nobody else wanted to do it
 
-prose|Causality obscures intention. Scepticism vindicates inference; Method precludes doubt. Parsimony remains defeasible.
-prose|Exegesis thwarts indexicality. Empiricism attenuates determinacy; Teleology presupposes verification.
+prose|Patience outlasts ambition. Memory rearranges testimony; Custom outweighs statute. Silence remains eloquent.
+prose|Grammar disciplines thought. Metaphor smuggles doctrine; Scarcity breeds allegory.
 
-prose|Abduction underwrites contingency; Reification circumscribes intelligibility. Pluralism problematises falsification; Hermeneutics adumbrates commensurability.
+prose|Courtesy lubricates commerce; Pageantry anaesthetises grievance. Etiquette camouflages hostility; Punctuality betokens deference.
 
-prose|Empiricism precludes quantification. Reification precludes intelligibility. Exegesis circumscribes commensurability. Nominalism problematises contingency; Inference thwarts verification. Teleology underwrites contingency.
+prose|Entropy humbles architecture. Ritual preserves forgetting. Scholarship domesticates wonder. Irony corrodes allegiance; Satire anticipates censorship. Commerce erodes ceremony.
 
-prose|Pluralism underwrites falsification. Scepticism obscures determinacy. Hermeneutics forecloses adjudication; Method presupposes inference. Exegesis attenuates adjudication. Causality attenuates contingency. Doubt remains defeasible. Parsimony is no panacea.
+prose|Translation betrays cadence. Liturgy stabilises grief. Taxonomy flatters curators. Melancholy annotates landscape. Diplomacy postpones candour. Cartography invents neighbours. Nostalgia is no archive. Leisure remains suspect.
 
-prose|Inference obscures verification; Exegesis problematises falsification. Reification presupposes intentionality. Teleology forecloses determinacy; Nominalism vindicates indexicality. Empiricism attenuates adjudication; Supervenience precludes hermeneutics.
+prose|Astronomy enlarges modesty; Geometry consoles exiles. Jurisprudence codifies resentment. Theatre rehearses catastrophe; Botany catalogues desire. Arithmetic resists rhetoric; Ornament precedes utility.
 
-prose|Inference circumscribes doubt. Scepticism problematises doubt. Exegesis circumscribes method. Scepticism attenuates method; Teleology obscures doubt. Exegesis underwrites inference. Scepticism obscures inference; Pluralism obscures method. Teleology thwarts inference.
+prose|Rhetoric overwhelms prudence. Solitude sharpens judgement. Prudence tempers zeal. Solitude ripens doubt; Zeal confounds judgement. Habit precedes virtue. Solitude precedes wisdom; Habit confounds zeal. Rhetoric flatters virtue.
 
-prose|Nominalism underwrites contingency. Teleology underwrites contingency; Exegesis vindicates contingency. Nominalism vindicates doubt. Teleology forecloses doubt; Nominalism forecloses method. Causality thwarts method.
+prose|Winter clarifies distance. Distance ennobles regret; Regret instructs vanity. Winter clarifies vanity. Distance absolves error; Winter absolves vanity. Error instructs regret.
 
 prose|A mountain hut a border post and nine leaky shops that was our plan for the week I upgraded a borrowed suitcase after work Never photographed a night train like that before
 
-prose|Meine Nachbarin schreibt lange Briefe. Der Gärtner findet das neue Rathaus hässlich.
-prose|Mi vecina prepara una tarta de manzana. Nunca lo habría imaginado.
+prose|Unser Hausmeister sammelt alte Uhren. Der Bäcker hält die neue Brücke für zu schmal.
+prose|Mi abuelo colecciona relojes antiguos. Quién lo hubiera pensado entonces.
 
 prose|Наш сосед пишет длинные письма в мэрию, когда погода хорошая. Старый друг красит кухню в зелёный цвет, но это совсем не страшно.
 
-prose|Сосед чинит старый велосипед во дворе. Никогда бы не подумала. Вчера вечером не было света.
+prose|Дедушка собирает старые часы на чердаке. Кто бы мог это представить. Утром опять шёл дождь.
 
-prose|Sosed chinit staryy velosiped vo dvore. Nikogda by ne podumala. Vchera vecherom ne bylo sveta.
+prose|Dedushka sobiraet starye chasy na cherdake. Kto by mog eto predstavit. Utrom opyat shyol dozhd.
 
 prose|“My
 prose|new
@@ -82,21 +82,21 @@ prose|Update: the
 prose|heavy
 prose|lamp is broken now but I need a rest We carried six boxes up the stairs and nobody seemed to care
 
-prose|For the record, my passport, XX1234567; please delete later. I would trade my heavy hall for a light one any time.
+prose|For the record, my passport, ZQ7654321; kindly remove it soon. I would trade my heavy hall for a light one any time.
 
-prose|Coordinates 48.5054, -0.5988. They asked for tax ID 70/251/97247 twice. When I forgot my keys, the map was the first thing to go.
+prose|Coordinates 48.5054, -0.5988. The clerk wanted tax ID 11/222/33344 again. When I forgot my keys, the map was the first thing to go.
 
 prose|Le contact est Anna Miller, 202.555.0100. Apparently, my aunt never cleaned a watering can, it never worked properly.
 
-prose|The form has NI number QQ123456A on it, no idea why. Ticket 4471-3360-18 is still open. ISBN 978-0-22-533027-3 is a good read.
+prose|The form has NI number QQ123456A on it, no idea why. Ticket 1200-9981-07 was closed again. ISBN 978-1-55-123456-7 bored me a little.
 
-prose|I rejected a perfect road in March. Coordinates 51.6282, -0.2735. Yesterday the hall was still quiet; I learned a lot.
+prose|I rejected a perfect road in March. Coordinates 44.1020, 12.5501. On Monday the yard was already empty; we went home early.
 
 prose|We found three maps
 prose|It seemed easy and then the shop was closed
-prose|I honestly regret nothing
+prose|I would gladly go there again
 
-prose|IT ONLY TOOK FIVE TRIES UNTIL THE DOOR WAS OPEN. NOBODY SEEMED TO CARE.
+prose|IT ONLY TOOK FIVE TRIES BEFORE THE BOAT WOULD START. THE CAPTAIN ONLY LAUGHED.
 
 prose|Regards, Anna Miller
 prose|12 Mill Road, Apt 3
@@ -109,7 +109,7 @@ list|- rice
 
 list|• saddle
 list|• old bell
-list|• spare tube
+list|• inner valve
 list|• pump
 
 list|* lamp
@@ -141,7 +141,7 @@ list|lamp; green chair; sofa; new desk; stool; shelf; curtain; old carpet
 
 list|bread; brown sugar; onion; honey; tea
 
-list|second-hand ladder; wool hat; lamp; old wool hat; heavy ladder; bench
+list|half-price rake; felt cap; candle; grey felt cap; long rake; stool
 
 list|Needs: warm lamp, sofa, lovely green chair, stool, stool, bench, overpriced bench, shelf
 
@@ -151,9 +151,9 @@ list|tags: sofa, wool hat, heavy bench, curtain, delicate old carpet, massive ca
 
 list|ladder; dusty rope; tent shop; homemade long rope; mountain tent; lamp
 
-list|parking fee; salt bin; petition; rusty chair; bike bridge; bike bridge; cheap petition; bright council
+list|toll booth; sand box; leaflet; bent sign; foot bridge; foot bridge; thick leaflet; loud mayor
 
-list|rose bush; raised bed; favourite melon patch; seed tray; seed tray; bean pole; apple tree; heavy apple tree; apple tree; rose bush
+list|plum hedge; stone wall; sunny cabbage row; clay pot; clay pot; vine post; pear shrub; crooked pear shrub; pear shrub; plum hedge
 
 list|packed: rope, tent, wool hat, warm socks, torch, map
 
@@ -212,7 +212,7 @@ junk|top 10 green chair online green chair free green chair best green chair che
 
 junk|click here click here click here click here click here click here
 
-junk|win win win win win win win win win win win
+junk|now now now now now now now now now now now
 
 junk|ok ok ok ok ok ok ok ok ok ok ok ok
 
@@ -222,8 +222,12 @@ junk|asdk jfhg lakd qwpe rjks dfla hgjd kslw eqka jdhs fgla kwjd
 
 junk|c4fe 30ab577 aa9e b 7 80174 0d b3d1c764 3ee 5d 9e 356 861275 5809
 
+junk|4f06d1 b07e 99a2c41 3d e810f7 52 7bb4a03 0c6 d5e9f1 18a 6e4 f03b 27c 91d 8a05f2
+
 junk|TX4ECoq/fGYlRI9F1R+Nvr9o6Hm32tE9OWZeChottDiUu2gJbkMAu/AAw6sgLtSVBFIGIsvM8fXTsgBdgcJ=
 
+junk|bW8xZ2hQd0tSc1l2TjdkQ2ZaMnBFa0w5aUo4TjRyVG1YcEJ5SGw2c0R3VjFqS2VHcTVuUmJhZkUoz8cXywO1tVdA
+
 junk|kR9vQ2mZpX7LwT4yHs8NbC3fJd6Ga1Ue5iVo0DqWxYtBnMzKlPrShFgEj+uAcOI/vCyQw==
 
 junk|Ã©Ã¼âxx ¼â€™kk Ã©zz ©Ã¼zk ©Ãxz â€™kz Ã¼â€™qk Ã¼â€kz ©Ã¼âzk
@@ -434,10 +438,8 @@ def line_labels(texts: DataFrame, common: DataFrame, key: str = "rid", text: str
 
     def make():
         def work(rows):
-            for i in range(0, len(rows), 2000):
-                part = rows[i : i + 2000]
-                for (k, _), row in zip(part, label_texts([t for _, t in part], known)):
-                    yield k, *row
+            for (k, _), row in zip(rows, label_texts([t for _, t in rows], known)):
+                yield k, *row
 
         return work
 
