@@ -2,8 +2,10 @@
 
 A corpus is a value of a column, never a table of its own. Positions run through a corpus from its
 first document to its last. They are found without sorting a corpus in one task: documents are put
-in a bounded number of ranges of their order, range totals are summed up, and only inside a range
-are rows ordered.
+in ranges of their order, borders at quantiles, as many as their size asks for; range totals are
+summed up, and only inside a range are rows ordered. A document's tokens stay in one array all the
+way, with the few tokens that come before it, so that whatever looks back no further than those is
+worked out inside the row. The arrays move once.
 """
 
 from __future__ import annotations
@@ -13,10 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import full, tokens
-from lexmill.session import cut
 
-#: Ranges a column of order is put in.
-RANGES = 1024
+#: Bytes of a range, and ranges at least and at most.
+RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 32 << 20, 8, 16384
 #: Tokens of a corpus that are ordered in one task.
 STRETCH = 1 << 20
 
@@ -38,44 +39,95 @@ def frequencies(toks: DataFrame) -> DataFrame:
     return toks.groupBy("corpus", "tok").agg(F.count(F.lit(1)).alias("c"))
 
 
+def ranged(df: DataFrame, order: str) -> DataFrame:
+    """`df` with `_range`, the number of the range its row's `order` (a whole number) lies in: about as many
+    rows in each, the borders being quantiles over all rows, however the values are spread."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size < 1 << 60  # what Spark can't size counts as endless
+    k = min(MOST_RANGES, max(LEAST_RANGES, -(-size // RANGE_BYTES) if known else 0))
+    borders = df.agg(F.percentile_approx(order, [i / k for i in range(1, k)], 10 * k + 1000).alias("b")).scalar()
+    # binary search: how many borders lie below
+    bounds = F.struct(F.lit(0).alias("low"), F.lit(k - 1).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        right = F.get("_borders", middle) < F.col(order)
+        done = s["low"] >= s["high"]
+        return F.struct(F.when(~done & right, middle + 1).otherwise(s["low"]).alias("low"), F.when(~done & ~right, middle).otherwise(s["high"]).alias("high"))
+
+    place = F.aggregate(F.sequence(F.lit(1), F.lit(k.bit_length() + 1)), bounds, halve, lambda s: s["low"])
+    return df.withColumn("_borders", borders).withColumn("_range", place).drop("_borders")
+
+
 def running_total(df: DataFrame, group: list[str], order: str, size: Column, name: str) -> DataFrame:
     """`df` with the sum of `size` over the rows of its group that come before in `order` (a whole number;
     rows that share it are taken in any order)."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    width = max(1, ((high or 0) - (low or 0)) // RANGES + 1)
-    ranged = df.withColumns({"_size": size, "_range": F.expr(f"({order} - {low or 0}) div {width}")})
+    sized = ranged(df.withColumn("_size", size), order)
     before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    totals = ranged.groupBy(*group, "_range").agg(F.sum("_size").alias("_total")).withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+    totals = sized.groupBy(*group, "_range").agg(F.sum("_size").alias("_total")).withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
     inside = W.partitionBy(*group, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return (
-        ranged.join(totals.drop("_total"), [*group, "_range"])
+        sized.join(totals.drop("_total"), [*group, "_range"])
         .withColumn(name, F.col("_base") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
         .drop("_size", "_range", "_base")
     )
 
 
-def positions(docs: DataFrame, least: int = 2) -> DataFrame:
-    """(corpus, gpos, tok): every token with its place in its corpus, documents in order."""
-    held = docs.select("corpus", "doc_ord", tokens(F.col("text"), least).alias("toks"))
-    counted = cut(held.select("corpus", "doc_ord", F.size("toks").cast("bigint").alias("n")))
-    offsets = running_total(counted, ["corpus"], "doc_ord", F.col("n"), "offset")
-    placed = held.join(offsets.select("corpus", "doc_ord", "offset"), ["corpus", "doc_ord"])
-    return placed.select("corpus", "offset", F.posexplode("toks").alias("pos", "tok")).select("corpus", (F.col("offset") + F.col("pos")).alias("gpos"), "tok")
-
-
-def stretches(pos: DataFrame, ahead: int = 0, behind: int = 0) -> DataFrame:
-    """`pos` cut in stretches of `STRETCH` tokens, each with copies of the `ahead` tokens after it and the
-    `behind` tokens before it. `own` tells a stretch's tokens from copies."""
-    at, home = F.col("gpos") % STRETCH, F.expr(f"gpos div {STRETCH}")
-    copies = F.array_compact(
-        F.array(home, F.when((at < ahead) & (home > 0), home - 1), F.when(at >= STRETCH - behind, home + 1))
+def _last(toks: Column, k: int) -> Column:
+    return F.slice(toks, F.greatest(F.size(toks) - k, F.lit(0)) + 1, k)
+
+
+def _before(group: list[str], at: str, toks: Column, k: int) -> Column:
+    """The last k tokens of the rows of `group` before this one; `at` is where a row begins. Rows hold one token
+    at least, so they are those that begin in the last k places and the one before these."""
+    w = W.partitionBy(*group).orderBy(at)
+    near = F.flatten(F.collect_list(_last(toks, k)).over(w.rangeBetween(-k, -1)))
+    far = F.last(_last(toks, k)).over(w.rangeBetween(W.unboundedPreceding, -k - 1))
+    return _last(F.concat(F.coalesce(far, F.array().cast("array<string>")), near), k)
+
+
+def placed(docs: DataFrame, least: int = 2, behind: int = 0) -> DataFrame:
+    """(corpus, n, offset, before, toks): every document that has tokens, with its tokens, the place of the
+    first of them in its corpus, the `behind` tokens that come before it (fewer at the corpus' beginning)
+    and the number of tokens of the corpus. Documents that share an order are taken in order of their
+    tokens' digest."""
+    held = ranged(docs, "doc_ord").select("corpus", "_range", "doc_ord", tokens(F.col("text"), least).alias("toks")).where(F.size("toks") > 0)
+    group = ["corpus", "_range"]
+    inside = W.partitionBy(*group).orderBy("doc_ord", F.xxhash64("toks"))
+    size = F.size("toks").cast("bigint")
+    # one exchange: ranges are summed up from the same placing of the arrays
+    local = held.repartition(*group).withColumns(
+        {"at": F.coalesce(F.sum(size).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "total": F.sum(size).over(W.partitionBy(*group))}
     )
-    return pos.select("*", F.explode(copies).alias("stretch")).withColumn("own", F.col("stretch") == home)
+    ends = F.when(F.col("total") - F.col("at") - size < behind, F.struct("at", _last(F.col("toks"), behind).alias("t"))) if behind else F.lit(None).cast("struct<at:bigint,t:array<string>>")
+    ranges = local.groupBy(*group).agg(F.max("total").alias("total"), _last(F.flatten(F.array_sort(F.collect_list(ends))["t"]), max(behind, 1)).alias("tail"))
+    whole = W.partitionBy("corpus")
+    ranges = ranges.withColumns({"base": F.coalesce(F.sum("total").over(whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("total").over(whole)})
+    ranges = ranges.select(*group, "base", "n", (_before(["corpus"], "base", F.col("tail"), behind) if behind else F.array().cast("array<string>")).alias("left"))
+    if behind:
+        local = local.withColumn("near", _before(group, "at", F.col("toks"), behind))
+    before = _last(F.concat("left", "near"), behind) if behind else F.col("left")
+    return local.join(ranges, group).select("corpus", "n", (F.col("base") + F.col("at")).alias("offset"), before.alias("before"), "toks")
 
 
-def ngram_counts(pos: DataFrame, n: int) -> DataFrame:
-    """(corpus, w1 .. wn, c) of every run of n tokens, across document borders."""
-    w = W.partitionBy("corpus", "stretch").orderBy("gpos")
-    cut = stretches(pos, ahead=n - 1) if n > 1 else pos.withColumns({"stretch": F.lit(0), "own": F.lit(True)})
-    words = {f"w{k + 1}": F.col("tok") if k == 0 else F.lead("tok", k).over(w) for k in range(n)}
-    return cut.withColumns(words).where(F.col("own") & F.col(f"w{n}").isNotNull()).groupBy("corpus", *words).agg(F.count(F.lit(1)).alias("c"))
+def positions(docs: DataFrame, least: int = 2) -> DataFrame:
+    """(corpus, n, gpos, tok): every token with its place in its corpus, documents in order, and the number of
+    tokens of the corpus."""
+    at = placed(docs, least).select("corpus", "n", "offset", F.posexplode("toks").alias("pos", "tok"))
+    return at.select("corpus", "n", (F.col("offset") + F.col("pos")).alias("gpos"), "tok")
+
+
+def ngram_counts(docs: DataFrame, orders: tuple[int, ...], least: int = 2) -> DataFrame:
+    """(corpus, n, gram, c) of every run of n tokens for every n of `orders`, across document borders; gram has
+    the tokens parted by blanks. All orders come from one pass. A corpus with fewer tokens than every n has
+    one row with a null gram."""
+    seq, b = F.col("seq"), F.size("before")
+
+    def runs(n: int) -> Column:
+        first = F.greatest(b, F.lit(n - 1))
+        gram = lambda j: F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *(F.get(seq, j - k) for k in range(n - 1, -1, -1))).alias("gram"))
+        return F.when(first < F.size(seq), F.transform(F.sequence(first, F.size(seq) - 1), gram)).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
+
+    texts = placed(docs, least, max(orders) - 1).withColumn("seq", F.concat("before", "toks"))
+    grams = texts.select("corpus", F.explode_outer(F.concat(*map(runs, orders))).alias("g"))
+    return grams.groupBy("corpus", F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(F.count("g").alias("c"))

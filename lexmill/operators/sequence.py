@@ -1,46 +1,41 @@
 """Measures that depend on where tokens stand: n-grams, moving windows, gaps, growth and rank laws.
 
-They take the position table (corpus, gpos, tok). Nothing orders a whole corpus, or all places of a
-frequent token, in one task: windows run inside stretches with copies at the seams, or inside ranges
-whose totals are put together afterwards.
+Those that look back a bounded number of tokens take the documents (corpus, doc_ord, text) and work
+inside their rows; the others take the position table (corpus, n, gpos, tok). Nothing orders a whole
+corpus, or all places of a frequent token, in one task: windows run inside stretches, or inside
+ranges whose totals are put together afterwards.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions.numeric import ratio
 
-from .corpora import STRETCH, ngram_counts, running_total, stretches
-
+from lexmill.session import cut
 
-def sizes(pos: DataFrame) -> DataFrame:
-    """(corpus, n)."""
-    return pos.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"))
+from .corpora import STRETCH, ngram_counts, placed, running_total
 
 
-def ngram_stats(pos: DataFrame, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def ngram_stats(docs: DataFrame, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """(corpus, n, ngram_count, unique_ngrams, ngram_ttr, ngram_hapax_ratio, ngram_entropy,
-    most_common_ngram_freq). A corpus shorter than n has zeros and nulls."""
-
-    def one(n: int) -> DataFrame:
-        total = F.sum("c")
-        stats = ngram_counts(pos, n).groupBy("corpus").agg(
-            total.alias("ngram_count"),
-            F.count(F.lit(1)).alias("unique_ngrams"),
-            ratio(F.count(F.lit(1)), total).alias("ngram_ttr"),
-            ratio(F.sum((F.col("c") == 1).cast("bigint")), total).alias("ngram_hapax_ratio"),
-            F.greatest(F.lit(0.0), F.log2(total.cast("double")) - F.sum(F.col("c") * F.log2(F.col("c").cast("double"))) / total).alias("ngram_entropy"),
-            ratio(F.max("c"), total).alias("most_common_ngram_freq"),
-        )
-        zero = {"ngram_count": 0, "unique_ngrams": 0, "ngram_ttr": 0.0}
-        return pos.select("corpus").distinct().join(stats, "corpus", "left").na.fill(zero).withColumn("n", F.lit(n))
-
-    return reduce(DataFrame.unionByName, map(one, orders))
+    most_common_ngram_freq). A corpus shorter than n has zeros and nulls, one without tokens no row."""
+    total, c = F.sum("c"), F.col("c").cast("double")
+    stats = ngram_counts(docs, orders).groupBy("corpus", "n").agg(
+        total.alias("ngram_count"),
+        F.count(F.lit(1)).alias("unique_ngrams"),
+        ratio(F.count(F.lit(1)), total).alias("ngram_ttr"),
+        ratio(F.sum((F.col("c") == 1).cast("bigint")), total).alias("ngram_hapax_ratio"),
+        F.greatest(F.lit(0.0), F.log2(total.cast("double")) - F.sum(F.when(c > 0, c * F.log2(c))) / F.nullif(total, F.lit(0))).alias("ngram_entropy"),
+        ratio(F.max("c"), total).alias("most_common_ngram_freq"),
+    )
+    # a corpus has a row for each order: a handful of rows, put side by side
+    names = [x for x in stats.columns if x not in ("corpus", "n")]
+    held = stats.groupBy("corpus").agg(F.collect_list(F.struct("n", *names)).alias("s"))
+    every = held.select("corpus", "s", F.explode(F.array(*map(F.lit, orders))).alias("n")).withColumn("x", F.get(F.filter("s", lambda s: s["n"] == F.col("n")), F.lit(0)))
+    return every.select("corpus", *(F.col(f"x.{x}").alias(x) for x in names), "n").na.fill({"ngram_count": 0, "unique_ngrams": 0, "ngram_ttr": 0.0})
 
 
 def ngram_pivot(stats: DataFrame, measure: str, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -49,27 +44,37 @@ def ngram_pivot(stats: DataFrame, measure: str, orders: tuple[int, ...] = (1, 2,
     return wide.select("corpus", *(F.col(str(n)).alias(f"n{n}") for n in orders))
 
 
-def conditional_entropy(pos: DataFrame) -> DataFrame:
+def conditional_entropy(docs: DataFrame) -> DataFrame:
     """(corpus, conditional_entropy) of a token given the one before it; 0 for fewer than two tokens."""
-    pairs = ngram_counts(pos, 2)
+    c = F.col("c").cast("double")
     # H(pair) - H(first) over the pairs, each a sum that partial aggregation takes
-    firsts = pairs.groupBy("corpus", "w1").agg(F.sum("c").alias("c1"), F.sum(F.col("c") * F.log2(F.col("c").cast("double"))).alias("own"))
-    found = firsts.groupBy("corpus").agg(
-        F.greatest(F.lit(0.0), ratio(F.sum(F.col("c1") * F.log2(F.col("c1").cast("double")) - F.col("own")), F.sum("c1"))).alias("conditional_entropy")
-    )
-    return sizes(pos).select("corpus").join(found, "corpus", "left").na.fill(0.0)
+    firsts = ngram_counts(docs, (2,)).groupBy("corpus", F.substring_index("gram", " ", 1).alias("w1")).agg(F.sum("c").alias("c1"), F.sum(F.when(c > 0, c * F.log2(c)).otherwise(0.0)).alias("own"))
+    c1 = F.col("c1").cast("double")
+    return firsts.groupBy("corpus").agg(F.greatest(F.lit(0.0), ratio(F.sum(F.when(c1 > 0, c1 * F.log2(c1)).otherwise(0.0) - F.col("own")), F.sum("c1"))).alias("conditional_entropy"))
 
 
-def moving_ttr(pos: DataFrame, window: int = 100) -> DataFrame:
+def moving_ttr(docs: DataFrame, window: int = 100) -> DataFrame:
     """(corpus, mattr): the mean share of types in all windows of `window` tokens, the plain share for a
-    shorter corpus. Each token counts in those windows that hold it but not its last occurrence."""
-    last = F.lag("gpos").over(W.partitionBy("corpus", "stretch", "tok").orderBy("gpos"))
-    seen = stretches(pos, behind=window).withColumn("last", F.coalesce(last, F.lit(-1))).where("own")
-    n, i = F.col("n"), F.col("gpos")
-    begin = F.greatest(F.col("last") + 1, i - (window - 1), F.lit(0))
-    held = F.greatest(F.lit(0), F.least(i, n - window) - begin + 1)
-    moved = seen.join(sizes(pos), "corpus").groupBy("corpus", "n").agg(F.sum(held).alias("held"), F.count_distinct("tok").alias("v"))
-    return moved.select("corpus", F.when(n < window, ratio(F.col("v"), n)).otherwise(ratio(F.col("held"), window * (n - window + 1))).alias("mattr"))
+    shorter corpus. Each token counts in those windows that hold it but not its last occurrence, so a
+    document needs the window - 1 tokens before it and nothing else."""
+    n, b = F.col("n"), F.size("before")
+    entries = F.transform(F.concat("before", "toks"), lambda t, i: F.struct(t.alias("tok"), i.alias("i")))
+    state = F.struct(F.lit("").alias("tok"), F.lit(-1).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("held"), F.lit(0).cast("bigint").alias("fresh"))
+
+    def step(s: Column, x: Column) -> Column:
+        at = F.col("offset") - b + x["i"]
+        last = F.when(s["tok"] == x["tok"], s["last"]).otherwise(F.lit(-1).cast("bigint"))
+        first = F.greatest(last + 1, at - (window - 1), F.lit(0))
+        windows = F.greatest(F.lit(0), F.least(at, n - window) - first + 1)
+        own = x["i"] >= b
+        return F.struct(
+            x["tok"].alias("tok"), at.alias("last"), F.when(own, s["held"] + windows).otherwise(s["held"]).alias("held"),
+            F.when(own & (last < 0), s["fresh"] + 1).otherwise(s["fresh"]).alias("fresh"),
+        )
+
+    moved = placed(docs, behind=window - 1).select("corpus", "n", F.aggregate(F.array_sort(entries), state, step).alias("s"))
+    sums = moved.groupBy("corpus", "n").agg(F.sum("s.held").alias("held"), F.sum("s.fresh").alias("fresh"))
+    return sums.select("corpus", F.when(n < window, ratio(F.col("fresh"), n)).otherwise(ratio(F.col("held"), window * (n - window + 1))).alias("mattr"))
 
 
 def ranked(freq: DataFrame) -> DataFrame:
@@ -109,17 +114,17 @@ def zipf_summary(freq: DataFrame) -> DataFrame:
 def heaps_curve(pos: DataFrame, step: int = 100) -> DataFrame:
     """(corpus, chunk, corpus_size, vocab_size) after every `step` tokens and at the end; a corpus of
     fewer tokens has its one point."""
-    first = pos.groupBy("corpus", "tok").agg(F.min("gpos").alias("at"))
-    fresh = first.groupBy("corpus", F.expr(f"at div {step} + 1").alias("chunk")).agg(F.count(F.lit(1)).alias("new"))
+    first = pos.groupBy("corpus", "n", "tok").agg(F.min("gpos").alias("at"))
+    # narrow and used twice: written once to the shared folder
+    fresh = cut(first.groupBy("corpus", "n", F.expr(f"at div {step} + 1").alias("chunk")).agg(F.count(F.lit(1)).alias("new")))
     n = F.col("n")
     # chunks with nothing new have a point too; made in blocks, so that no row holds all of a corpus' chunks
     chunks = (
-        sizes(pos)
-        .select("corpus", "n", F.expr(f"cast(greatest(1, (n + {step} - 1) div {step}) as bigint)").alias("k"))
+        fresh.select("corpus", "n", F.expr(f"cast(greatest(1, (n + {step} - 1) div {step}) as bigint)").alias("k")).distinct()
         .select("corpus", "n", "k", F.explode(F.expr("sequence(0, (k - 1) div 10000)")).alias("block"))
         .select("corpus", "n", F.explode(F.expr("sequence(block * 10000 + 1, least(k, (block + 1) * 10000))")).alias("chunk"))
     )
-    counted = chunks.join(fresh, ["corpus", "chunk"], "left").na.fill(0, ["new"])
+    counted = chunks.join(fresh, ["corpus", "n", "chunk"], "left").na.fill(0, ["new"])
     grown = running_total(counted, ["corpus"], "chunk", F.col("new"), "before")
     return grown.select("corpus", "chunk", F.least(F.col("chunk") * step, n).alias("corpus_size"), (F.col("before") + F.col("new")).alias("vocab_size"))
 
@@ -162,34 +167,41 @@ def burstiness(pos: DataFrame) -> DataFrame:
 
 def average_burstiness(pos: DataFrame, least: int = 5) -> DataFrame:
     """(corpus, avg_burstiness) over the tokens that occur `least` times or more; 0 without any."""
-    some = burstiness(pos).where(F.col("c") >= least).groupBy("corpus").agg(F.avg("burstiness").alias("avg_burstiness"))
-    return pos.select("corpus").distinct().join(some, "corpus", "left").na.fill(0.0)
+    return burstiness(pos).groupBy("corpus").agg(F.coalesce(F.avg(F.when(F.col("c") >= least, F.col("burstiness"))), F.lit(0.0)).alias("avg_burstiness"))
+
+
+#: Word pairs that are measured at once.
+MAX_PAIRS = 1000
 
 
-def pmi(pos: DataFrame, pairs: DataFrame, window: int = 5) -> DataFrame:
+def pmi(docs: DataFrame, pairs: DataFrame, window: int = 5) -> DataFrame:
     """(corpus, w1, w2, pmi) of the given (w1, w2): how much likelier w2 is within `window` places of w1
     than anywhere. Windows stand around w1 only, so the measure isn't symmetric; 0 if either word is
-    absent or they never meet.
-
-    w1's places are spread to the places around them and met with w2's by equality, no range join."""
-    n = sizes(pos)
-    # a word is in several pairs: places of the words of all pairs, then pairs by word
-    one = pos.join(pairs.select(F.col("w1").alias("tok"), "w1", "w2").distinct(), "tok").select("corpus", "w1", "w2", "gpos")
-    around = one.select("corpus", "w1", "w2", "gpos", F.explode(F.expr(f"sequence(-{window}, {window})")).alias("off")).where("off <> 0")
-    other = pos.select("corpus", F.col("gpos").alias("place"), F.col("tok").alias("w2"))
-    met = around.withColumn("place", F.col("gpos") + F.col("off")).join(other, ["corpus", "place", "w2"]).groupBy("corpus", "w1", "w2").agg(F.count(F.lit(1)).alias("co"))
-    wide = F.least(F.col("n"), F.col("gpos") + window + 1) - F.greatest(F.lit(0), F.col("gpos") - window) - 1
-    rooms = one.join(n, "corpus").groupBy("corpus", "w1", "w2", "n").agg(F.sum(wide).alias("den"), F.count(F.lit(1)).alias("c1"))
-    freq = pos.join(pairs.select(F.col("w2").alias("tok")).distinct(), "tok", "left_semi").groupBy("corpus", F.col("tok").alias("w2")).agg(F.count(F.lit(1)).alias("c2"))
-    full = _every(n, pairs).join(rooms, ["corpus", "w1", "w2"], "left").join(met, ["corpus", "w1", "w2"], "left").join(freq, ["corpus", "w2"], "left")
-    score = F.log2(F.col("co") / F.col("den") / (F.col("c1") / F.col("n")) / (F.col("c2") / F.col("n")))
-    return full.select("corpus", "w1", "w2", F.coalesce(F.when((F.col("co") > 0) & (F.col("den") > 0), score), F.lit(0.0)).alias("pmi"))
-
-
-def _every(corpora: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Each wanted pair in each corpus: the pairs, a small table by contract, ride along in an array."""
-    listed = [(r[0], r[1]) for r in pairs.select("w1", "w2").distinct().limit(1001).collect()]
-    if len(listed) > 1000:
-        raise ValueError("more than 1000 pairs at once")
-    held = F.array(*(F.struct(F.lit(a).alias("w1"), F.lit(b).alias("w2")) for a, b in listed))
-    return corpora.select("corpus", F.explode(held).alias("p")).select("corpus", "p.w1", "p.w2")
+    absent or they never meet. `pairs` is a small table by contract.
+
+    A document needs the `window` tokens before it: of two words that meet, the later sees the earlier.
+    Only places of wanted words leave their row."""
+    listed = sorted({(r[0], r[1]) for r in pairs.select("w1", "w2").dropna().distinct().limit(MAX_PAIRS + 1).collect()})
+    if len(listed) > MAX_PAIRS:
+        raise ValueError(f"more than {MAX_PAIRS} pairs at once")
+    words, keys = sorted({w for p in listed for w in p}), [" ".join(p) for p in listed]
+    n, b, seq = F.col("n"), F.size("before"), F.col("seq")
+    texts = placed(docs, behind=window).withColumn("seq", F.concat("before", "toks"))
+    places = F.filter(F.transform(seq, lambda t, j: F.struct(t.alias("t"), j.alias("j"))), lambda x: (x["j"] >= b) & x["t"].isin(words))
+    at = texts.select("corpus", "n", "offset", "seq", b.alias("b"), F.explode_outer(places).alias("x"))
+    j, t, place = F.col("x.j"), F.col("x.t"), F.col("offset") - F.col("b") + F.col("x.j")
+    wide = (F.least(n, place + window + 1) - F.greatest(F.lit(0), place - window) - 1).cast("bigint")
+    entry = lambda key, co, c, den: F.struct(key.alias("key"), F.lit(co).cast("bigint").alias("co"), F.lit(c).cast("bigint").alias("c"), den.alias("den"))
+    left = F.filter(F.slice(seq, F.greatest(j - window, F.lit(0)) + 1, F.least(j, F.lit(window))), lambda w: w.isin(words))
+    none = F.lit(0).cast("bigint")
+    met = F.concat(F.transform(left, lambda w: entry(F.concat_ws(" ", w, t), 1, 0, none)), F.transform(left, lambda w: entry(F.concat_ws(" ", t, w), 1, 0, none)))
+    entries = F.concat(F.array(entry(t, 0, 1, wide)), F.filter(met, lambda e: e["key"].isin(keys)))
+    found = at.select("corpus", "n", F.explode(F.when(F.col("x").isNull(), F.array(entry(F.lit(""), 0, 0, none))).otherwise(entries)).alias("e"))
+    sums = found.groupBy("corpus", "n", "e.key").agg(F.sum("e.co").alias("co"), F.sum("e.c").alias("c"), F.sum("e.den").alias("den"))
+    # at most a row for each wanted word and pair: put side by side in one row a corpus
+    held = sums.groupBy("corpus", "n").agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("co", "c", "den")))).alias("m"))
+    wanted = F.array(*(F.struct(F.lit(a).alias("w1"), F.lit(z).alias("w2")) for a, z in listed)) if listed else F.array().cast("array<struct<w1:string,w2:string>>")
+    full = held.select("corpus", "n", "m", F.explode(wanted).alias("p")).select("corpus", "n", "p.w1", "p.w2", "m")
+    one, two, co = F.try_element_at("m", F.col("w1")), F.try_element_at("m", F.col("w2")), F.try_element_at("m", F.concat_ws(" ", "w1", "w2"))["co"]
+    score = F.log2(co / one["den"] / (one["c"] / n) / (two["c"] / n))
+    return full.select("corpus", "w1", "w2", F.coalesce(F.when((co > 0) & (one["den"] > 0), score), F.lit(0.0)).alias("pmi"))

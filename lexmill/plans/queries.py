@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,14 +51,12 @@ def freq(spark: SparkSession, sf_dir: str, corpus: str = "corpus", least: int =
 
 
 def pos(spark: SparkSession, sf_dir: str, corpus: str = "corpus") -> DataFrame:
-    """Positions, kept while a query goes over them several times (on disk where memory is short; lost
-    parts are made again)."""
-    return B.positions(docs(spark, sf_dir, corpus)).persist(StorageLevel.MEMORY_AND_DISK)
+    return B.positions(docs(spark, sf_dir, corpus))
 
 
 def datasets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The datasets, one row per record, kept as every pair reads them again."""
-    return {n: df.persist(StorageLevel.MEMORY_AND_DISK) for n, df in read_all(spark, DATASETS, lambda n: table(spark, sf_dir, n)).items()}
+    """The datasets, one row per record."""
+    return read_all(spark, DATASETS, lambda n: table(spark, sf_dir, n))
 
 
 # corpora: size, diversity, information
@@ -120,7 +117,7 @@ def lexical_density_content_words(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @query
 def vocabulary_richness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(C.richness(freq(spark, sf_dir), M.moving_ttr(pos(spark, sf_dir))))
+    return rounded(C.richness(freq(spark, sf_dir), M.moving_ttr(docs(spark, sf_dir))))
 
 
 # text functions
@@ -186,27 +183,27 @@ def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def conditional_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.conditional_entropy(pos(spark, sf_dir)))
+    return rounded(M.conditional_entropy(docs(spark, sf_dir)))
 
 
 @query
 def mattr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.moving_ttr(pos(spark, sf_dir)))
+    return rounded(M.moving_ttr(docs(spark, sf_dir)))
 
 
 @query
 def ngram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.ngram_stats(pos(spark, sf_dir)))
+    return rounded(M.ngram_stats(docs(spark, sf_dir)))
 
 
 @query
 def ngram_ttr_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.ngram_pivot(M.ngram_stats(pos(spark, sf_dir)), "ngram_ttr"))
+    return rounded(M.ngram_pivot(M.ngram_stats(docs(spark, sf_dir)), "ngram_ttr"))
 
 
 @query
 def ngram_entropy_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.ngram_pivot(M.ngram_stats(pos(spark, sf_dir)), "ngram_entropy"))
+    return rounded(M.ngram_pivot(M.ngram_stats(docs(spark, sf_dir)), "ngram_entropy"))
 
 
 @query
@@ -252,7 +249,7 @@ PMI_PAIRS = [("the", "best"), ("best", "part"), ("my", "brother"), ("the", "the"
 @query
 def pmi_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = spark.createDataFrame(PMI_PAIRS, "w1 string, w2 string")
-    return rounded(M.pmi(pos(spark, sf_dir), pairs))
+    return rounded(M.pmi(docs(spark, sf_dir), pairs))
 
 
 # likeness of corpora

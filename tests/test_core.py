@@ -47,16 +47,16 @@ def test_golden_corpus(golden):
 
 
 def test_golden_sequences(spark, golden):
-    _, freq, pos = golden
-    assert one(M.conditional_entropy(pos))["conditional_entropy"] == pytest.approx(2 / 3)
-    two = one(M.ngram_stats(pos, (2,)))
+    docs, freq, pos = golden
+    assert one(M.conditional_entropy(docs))["conditional_entropy"] == pytest.approx(2 / 3)
+    two = one(M.ngram_stats(docs, (2,)))
     assert (two["ngram_count"], two["unique_ngrams"]) == (12, 11)
     assert two["ngram_entropy"] == pytest.approx(3.4182958340544896)
     assert two["most_common_ngram_freq"] == pytest.approx(1 / 6)
-    assert one(M.moving_ttr(pos, 5))["mattr"] == pytest.approx(0.8888888888888888)
+    assert one(M.moving_ttr(docs, 5))["mattr"] == pytest.approx(0.8888888888888888)
     assert one(M.burstiness(pos).where("tok = 'the'"))["burstiness"] == pytest.approx(-0.5590375815769153)
     pairs = spark.createDataFrame([("the", "cat"), ("the", "nowhere")], "w1 string, w2 string")
-    got = {r.w2: r.pmi for r in M.pmi(pos, pairs, 2).collect()}
+    got = {r.w2: r.pmi for r in M.pmi(docs, pairs, 2).collect()}
     assert got["cat"] == pytest.approx(1.59352451422458) and got["nowhere"] == 0
     assert one(M.zipf_exponents(freq))["zipf_exponent"] == pytest.approx(0.7025921779389528)
     curve = M.heaps_curve(pos, 4)
@@ -87,9 +87,9 @@ def test_edges(spark):
     assert got["none"].perplexity == 0 and got["none"].n_tokens == 0
     assert got["one"].perplexity == 1 and got["one"].log_ttr == 0 and got["same"].norm_entropy == 0
     assert {r.corpus: r.zipf_exponent for r in M.zipf_exponents(freq).collect()} == {"one": 0, "same": 0}
-    grams = {(r.corpus, r.n): r for r in M.ngram_stats(pos).collect()}
+    grams = {(r.corpus, r.n): r for r in M.ngram_stats(d).collect()}
     assert grams["one", 2].ngram_count == 0 and grams["one", 2].ngram_entropy is None and grams["same", 2].unique_ngrams == 1
-    assert {r.corpus: r.mattr for r in M.moving_ttr(pos).collect()} == {"one": 1.0, "same": 0.25}
+    assert {r.corpus: r.mattr for r in M.moving_ttr(d).collect()} == {"one": 1.0, "same": 0.25}
     assert {r.corpus: (r.heaps_k, r.heaps_beta) for r in M.heaps_fit(M.heaps_curve(pos, 4)).collect()} == {"one": (0, 0), "same": (0, 0)}
     assert {r.corpus: r.avg_burstiness for r in M.average_burstiness(pos).collect()} == {"one": 0, "same": 0}
     assert {(r.c1, r.c2, r.similarity) for r in X.jaccard_pairs(freq).collect()} == {("one", "same", 0.0)}
@@ -98,33 +98,62 @@ def test_edges(spark):
 def test_empty_tables(spark):
     d = docs(spark, ("a", 1, "x")).where("false")
     freq, pos = B.frequencies(B.token_table(d)), B.positions(d)
-    for df in (C.corpus_stats(freq), M.ngram_stats(pos), M.moving_ttr(pos), M.heaps_curve(pos), M.average_burstiness(pos), X.jaccard_matrix(freq), X.tfidf_similarity(freq), M.ranked(freq)):
+    for df in (C.corpus_stats(freq), M.ngram_stats(d), M.moving_ttr(d), M.heaps_curve(pos), M.average_burstiness(pos), X.jaccard_matrix(freq), X.tfidf_similarity(freq), M.ranked(freq)):
         assert df.count() == 0
 
 
-def test_stretches_and_ranges_change_nothing(spark, monkeypatch):
+def brute_pmi(toks, w1, w2, window):
+    at = [i for i, t in enumerate(toks) if t == w1]
+    around = [[t for k, t in enumerate(toks) if k != i and abs(k - i) <= window] for i in at]
+    co, den = sum(a.count(w2) for a in around), sum(map(len, around))
+    return math.log2((co / den) / (len(at) / len(toks) * (toks.count(w2) / len(toks)))) if co else 0.0
+
+
+@pytest.mark.parametrize("ranges, stretch", [(1, 7), (40, 1 << 20)])
+def test_stretches_and_ranges_change_nothing(spark, monkeypatch, ranges, stretch):
     rng = random.Random(3)
-    rows = [(c, i * 7, " ".join(rng.choice(["aa", "bb", "cc", "dd", "ee"]) for _ in range(rng.randrange(40)))) for c in "xy" for i in range(12)]
+    rows = [(c, i * 7 if i < 30 else 10**15, " ".join(rng.choice(["aa", "bb", "cc", "dd", "ee"]) for _ in range(rng.choice([0, 1, 1, 2, 3, 40])))) for c in "xy" for i in range(31)]
     from lexmill.operators import corpora, sequence
 
-    for size in (7, 1 << 20):
-        monkeypatch.setattr(corpora, "STRETCH", size)
-        monkeypatch.setattr(sequence, "STRETCH", size)
-        pos = B.positions(docs(spark, *rows))
-        for c in "xy":
-            toks = [w for _, _, t in sorted((r for r in rows if r[0] == c), key=lambda r: r[1]) for w in t.split()]
-            here = pos.where(F.col("corpus") == c)
-            assert [r.tok for r in here.orderBy("gpos").collect()] == toks
-            windows = [len(set(toks[i : i + 5])) / 5 for i in range(len(toks) - 4)]
-            assert one(M.moving_ttr(here, 5))["mattr"] == pytest.approx(sum(windows) / len(windows))
-            grams = Counter(zip(toks, toks[1:], toks[2:]))
-            assert {(r.w1, r.w2, r.w3): r.c for r in B.ngram_counts(here, 3).collect()} == grams
-            for r in M.burstiness(here).collect():
-                at = [i for i, t in enumerate(toks) if t == r.tok]
-                gaps = [b - a for a, b in zip(at, at[1:])]
-                mu = sum(gaps) / len(gaps) if gaps else 0
-                sd = math.sqrt(sum((g - mu) ** 2 for g in gaps) / len(gaps)) if gaps else 0
-                assert r.burstiness == pytest.approx((sd - mu) / (sd + mu) if sd + mu else 0)
+    monkeypatch.setattr(corpora, "LEAST_RANGES", ranges)
+    monkeypatch.setattr(corpora, "MOST_RANGES", ranges)
+    monkeypatch.setattr(corpora, "STRETCH", stretch)
+    monkeypatch.setattr(sequence, "STRETCH", stretch)
+    d = docs(spark, *rows)
+    pos = B.positions(d).collect()
+    mattr = {w: {r.corpus: r.mattr for r in M.moving_ttr(d, w).collect()} for w in (5, 2000)}
+    grams = B.ngram_counts(d, (1, 3, 4)).collect()
+    burst = M.burstiness(B.positions(d)).collect()
+    pairs = spark.createDataFrame([("aa", "bb"), ("cc", "cc"), ("bb", "aa"), ("dd", "none")], "w1 string, w2 string")
+    pmi = M.pmi(d, pairs, 3).collect()
+    entropy = {r.corpus: r.conditional_entropy for r in M.conditional_entropy(d).collect()}
+    for c in "xy":
+        toks = [w for _, _, t in sorted((r for r in rows if r[0] == c), key=lambda r: r[1]) for w in t.split()]
+        assert [r.tok for r in sorted((r for r in pos if r.corpus == c), key=lambda r: r.gpos)] == toks
+        windows = [len(set(toks[i : i + 5])) / 5 for i in range(len(toks) - 4)]
+        assert mattr[5][c] == pytest.approx(sum(windows) / len(windows)) and mattr[2000][c] == pytest.approx(len(set(toks)) / len(toks))
+        for n in (1, 3, 4):
+            assert {r.gram: r.c for r in grams if r.corpus == c and r.n == n} == Counter(" ".join(toks[i : i + n]) for i in range(len(toks) - n + 1))
+        two = Counter(zip(toks, toks[1:]))
+        assert entropy[c] == pytest.approx(-sum(k / (len(toks) - 1) * math.log2(k / sum(v for p, v in two.items() if p[0] == a)) for (a, _), k in two.items()))
+        assert {(r.w1, r.w2): r.pmi for r in pmi if r.corpus == c} == pytest.approx({p: brute_pmi(toks, *p, 3) for p in [("aa", "bb"), ("cc", "cc"), ("bb", "aa"), ("dd", "none")]})
+        for r in burst:
+            if r.corpus != c:
+                continue
+            at = [i for i, t in enumerate(toks) if t == r.tok]
+            gaps = [b - a for a, b in zip(at, at[1:])]
+            mu = sum(gaps) / len(gaps) if gaps else 0
+            sd = math.sqrt(sum((g - mu) ** 2 for g in gaps) / len(gaps)) if gaps else 0
+            assert r.burstiness == pytest.approx((sd - mu) / (sd + mu) if sd + mu else 0)
+
+
+def test_shared_orders_and_an_outlying_one(spark):
+    d = docs(spark, ("a", 1, "one two"), ("a", 1, "three four"), ("a", 1, "one two"), ("b", 2, "x y z"))
+    got = B.positions(d).collect()
+    assert sorted(r.gpos for r in got if r.corpus == "a") == list(range(6)) and {r.n for r in got if r.corpus == "a"} == {6}
+    wide = spark.range(2000).union(spark.createDataFrame([(10**15,)], "id bigint"))
+    sizes = [r["count"] for r in B.ranged(wide, "id").groupBy("_range").count().collect()]
+    assert len(sizes) == B.LEAST_RANGES and max(sizes) < 2 * 2001 / B.LEAST_RANGES
 
 
 def test_tokens_follow_unicode_word_borders(spark):
