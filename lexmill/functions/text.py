@@ -108,3 +108,8 @@ def syllables(word: Column) -> Column:
 def joined(values: Column) -> Column:
     """An array of texts as one text, nulls left out; null is empty."""
     return F.coalesce(F.array_join(values, " "), F.lit(""))
+
+
+def flattened(values: Column) -> Column:
+    """An array of arrays of texts as one text, nulls on either level left out; null is empty."""
+    return joined(F.flatten(F.array_compact(values)))

@@ -39,30 +39,34 @@ def frequencies(toks: DataFrame) -> DataFrame:
     return toks.groupBy("corpus", "tok").agg(F.count(F.lit(1)).alias("c"))
 
 
-def ranged(df: DataFrame, order: str) -> DataFrame:
+def ranged(df: DataFrame, order: str, like: DataFrame | None = None) -> DataFrame:
     """`df` with `_range`, the number of the range its row's `order` (a whole number) lies in: about as many
-    rows in each, the borders being quantiles over all rows, however the values are spread."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    rows in each, the borders being quantiles over all rows, however the values are spread. The number of
+    ranges follows from the size Spark expects of `like`, which is `df` unless given."""
+    size = int((df if like is None else like)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     known = size < 1 << 60  # what Spark can't size counts as endless
     k = min(MOST_RANGES, max(LEAST_RANGES, -(-size // RANGE_BYTES) if known else 0))
-    borders = df.agg(F.percentile_approx(order, [i / k for i in range(1, k)], 10 * k + 1000).alias("b")).scalar()
+    borders = df.agg(F.percentile_approx(order, [i / k for i in range(1, k)], 10 * k + 1000)).first()[0] if k > 1 else []
+    if not borders:
+        return df.withColumn("_range", F.lit(0))
+    held = F.expr(f"array({','.join(f'{b}L' for b in borders)})")
     # binary search: how many borders lie below
     bounds = F.struct(F.lit(0).alias("low"), F.lit(k - 1).alias("high"))
 
     def halve(s: Column, _: Column) -> Column:
         middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        right = F.get("_borders", middle) < F.col(order)
+        right = F.get(held, middle) < F.col(order)
         done = s["low"] >= s["high"]
         return F.struct(F.when(~done & right, middle + 1).otherwise(s["low"]).alias("low"), F.when(~done & ~right, middle).otherwise(s["high"]).alias("high"))
 
     place = F.aggregate(F.sequence(F.lit(1), F.lit(k.bit_length() + 1)), bounds, halve, lambda s: s["low"])
-    return df.withColumn("_borders", borders).withColumn("_range", place).drop("_borders")
+    return df.withColumn("_range", F.coalesce(place, F.lit(0)))
 
 
-def running_total(df: DataFrame, group: list[str], order: str, size: Column, name: str) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], order: str, size: Column, name: str, like: DataFrame | None = None) -> DataFrame:
     """`df` with the sum of `size` over the rows of its group that come before in `order` (a whole number;
-    rows that share it are taken in any order)."""
-    sized = ranged(df.withColumn("_size", size), order)
+    rows that share it are taken in any order); `like` as in `ranged`."""
+    sized = ranged(df.withColumn("_size", size), order, like)
     before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     totals = sized.groupBy(*group, "_range").agg(F.sum("_size").alias("_total")).withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
     inside = W.partitionBy(*group, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
@@ -91,22 +95,20 @@ def placed(docs: DataFrame, least: int = 2, behind: int = 0) -> DataFrame:
     first of them in its corpus, the `behind` tokens that come before it (fewer at the corpus' beginning)
     and the number of tokens of the corpus. Documents that share an order are taken in order of their
     tokens' digest."""
-    held = ranged(docs, "doc_ord").select("corpus", "_range", "doc_ord", tokens(F.col("text"), least).alias("toks")).where(F.size("toks") > 0)
+    held = ranged(docs, "doc_ord").select("corpus", "_range", "doc_ord", tokens(F.col("text"), least).alias("toks"))
     group = ["corpus", "_range"]
-    inside = W.partitionBy(*group).orderBy("doc_ord", F.xxhash64("toks"))
-    size = F.size("toks").cast("bigint")
-    # one exchange: ranges are summed up from the same placing of the arrays
-    local = held.repartition(*group).withColumns(
-        {"at": F.coalesce(F.sum(size).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "total": F.sum(size).over(W.partitionBy(*group))}
-    )
-    ends = F.when(F.col("total") - F.col("at") - size < behind, F.struct("at", _last(F.col("toks"), behind).alias("t"))) if behind else F.lit(None).cast("struct<at:bigint,t:array<string>>")
-    ranges = local.groupBy(*group).agg(F.max("total").alias("total"), _last(F.flatten(F.array_sort(F.collect_list(ends))["t"]), max(behind, 1)).alias("tail"))
+    inside = W.partitionBy(*group).orderBy("doc_ord", F.xxhash64("toks")).rowsBetween(W.unboundedPreceding, -1)
+    size, none = F.size("toks").cast("bigint"), F.array().cast("array<string>")
+    # one exchange: ranges are summed up from the same placing of the arrays, hence from the same columns
+    local = held.repartition(*group).withColumn("at", F.coalesce(F.sum(size).over(inside), F.lit(0))).where(F.size("toks") > 0)
+    near = _before(group, "at", F.col("toks"), behind) if behind else none
+    local = local.withColumn("near", near)
+    tail = F.max_by(_last(F.concat("near", "toks"), behind), "at") if behind else F.max(none)
+    ranges = local.groupBy(*group).agg(F.max(F.col("at") + size).alias("total"), tail.alias("tail"))
     whole = W.partitionBy("corpus")
     ranges = ranges.withColumns({"base": F.coalesce(F.sum("total").over(whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("total").over(whole)})
-    ranges = ranges.select(*group, "base", "n", (_before(["corpus"], "base", F.col("tail"), behind) if behind else F.array().cast("array<string>")).alias("left"))
-    if behind:
-        local = local.withColumn("near", _before(group, "at", F.col("toks"), behind))
-    before = _last(F.concat("left", "near"), behind) if behind else F.col("left")
+    ranges = ranges.select(*group, "base", "n", (_before(["corpus"], "base", F.col("tail"), behind) if behind else none).alias("left"))
+    before = _last(F.concat("left", "near"), behind) if behind else none
     return local.join(ranges, group).select("corpus", "n", (F.col("base") + F.col("at")).alias("offset"), before.alias("before"), "toks")
 
 

@@ -108,6 +108,6 @@ def richness(freq: DataFrame, mattr: DataFrame) -> DataFrame:
     """The measures of vocabulary richness side by side; `mattr` has (corpus, mattr)."""
     own = corpus_stats(freq).select(
         "corpus", F.col("n_tokens").alias("total_tokens"), F.col("vocab_size").alias("unique_tokens"), "ttr", "root_ttr", "log_ttr",
-        "hapax_ratio", "yules_k", "simpsons_d", "entropy", "avg_word_len",
+        "hapax_ratio", "yules_k", "simpsons_d", "entropy", "norm_entropy", "avg_word_len",
     )
     return own.join(mattr, "corpus")

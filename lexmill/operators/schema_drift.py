@@ -171,7 +171,7 @@ def _renames(segments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def schema_changes(files: DataFrame, rows: DataFrame) -> DataFrame:
     """(feed_id, file_no, change, old_field, new_field): every difference between a file and the one
-    before it in its feed; change is added, removed, renamed or retyped.
+    before it in its feed; change is added, removed, renamed or retyped. Ordered by feed, file, change and names.
 
     `files` has file_id, feed_id, file_no and header, `rows` file_id and record. Files without a feed
     or header are left out; a file without rows changes names only; a field without values keeps its
@@ -186,7 +186,8 @@ def schema_changes(files: DataFrame, rows: DataFrame) -> DataFrame:
     retyped = segments.where("was is not null and kept.type <> was").select("feed_id", "file_no", F.col("name").alias("f"))
     both = pairs.where("was <> now").select("feed_id", "file_no", F.col("new").alias("f"))
     typed = retyped.union(both).select("feed_id", "file_no", F.lit("retyped").alias("change"), F.col("f").alias("old_field"), F.col("f").alias("new_field"))
-    return added.union(removed).union(renamed).union(typed)
+    # the log in the order things happened; metadata, so its sort is small
+    return added.union(removed).union(renamed).union(typed).orderBy("feed_id", "file_no", "change", "old_field", "new_field")
 
 
 def _roots(segments: DataFrame, pairs: DataFrame) -> DataFrame:

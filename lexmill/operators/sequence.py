@@ -125,7 +125,7 @@ def heaps_curve(pos: DataFrame, step: int = 100) -> DataFrame:
         .select("corpus", "n", F.explode(F.expr("sequence(block * 10000 + 1, least(k, (block + 1) * 10000))")).alias("chunk"))
     )
     counted = chunks.join(fresh, ["corpus", "n", "chunk"], "left").na.fill(0, ["new"])
-    grown = running_total(counted, ["corpus"], "chunk", F.col("new"), "before")
+    grown = running_total(counted, ["corpus"], "chunk", F.col("new"), "before", fresh)
     return grown.select("corpus", "chunk", F.least(F.col("chunk") * step, n).alias("corpus_size"), (F.col("before") + F.col("new")).alias("vocab_size"))
 
 
@@ -138,6 +138,12 @@ def heaps_fit(curve: DataFrame) -> DataFrame:
     )
 
 
+def heaps_theory(curve: DataFrame) -> DataFrame:
+    """`curve` with `expected`, the size of the vocabulary by Heaps' law with the fitted parameters."""
+    fitted = heaps_fit(curve)
+    return curve.join(fitted, "corpus").withColumn("expected", F.col("heaps_k") * F.pow(F.col("corpus_size").cast("double"), "heaps_beta")).drop("heaps_k", "heaps_beta")
+
+
 def gap_moments(pos: DataFrame) -> DataFrame:
     """(corpus, tok, c, gaps, squares): sums of the gaps between a token's occurrences and of their
     squares. Gaps are taken inside stretches; those across seams come from each stretch's ends."""

@@ -6,6 +6,10 @@ side); nothing dense is built. Every unordered pair has a row, those without a s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,19 +113,41 @@ def tfidf_similarity(freq: DataFrame) -> DataFrame:
     return _dots(tfidf(freq), True).withColumnRenamed("dot", "similarity")
 
 
-def dense_dots(vectors: DataFrame, key: str, vector: str, queries: DataFrame, block: int = 128) -> DataFrame:
+def dense_dots(vectors: DataFrame, key: str, vector: str, queries: DataFrame, block: int = 1024) -> DataFrame:
     """(query, other, dot): every vector of `queries` with every vector of `vectors`, as they are.
 
-    Queries are packed in blocks of `block` rows; each vector meets each block by an equi-join on the
-    block's number, and the products inside a block stay in one expression. Nulls meet nothing."""
-    packed = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("query"), F.col(vector).alias("q"))
-    n = packed.count()
-    blocks = max(1, -(-n // block))
-    ranged = packed.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("query", "q")).alias("qs"))
-    spread = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("other"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
-    met = spread.join(ranged, "block").select("other", "v", F.explode("qs").alias("m"))
-    dot = F.aggregate(F.zip_with("m.q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    return met.select(F.col("m.query").alias("query"), "other", dot.alias("dot"))
+    Queries are packed in blocks of about `block` rows; vectors meet each block by an equi-join on the
+    block's number in groups of rows, and a group's products are one matrix product in an Arrow batch.
+    Rows whose key or vector is null meet nothing; vectors of a query set are of one length, vectors of
+    another length meet nothing either."""
+    held = lambda df: df.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    asked = held(queries).select(F.col(key).alias("query"), F.col(vector).cast("array<double>").alias("q"))
+    blocks = max(1, -(-asked.count() // block))
+    packed = asked.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query", "q")).alias("qs"))
+    # vectors travel in groups too, so that a block is attached once a group and not once a row
+    others = held(vectors).select(F.col(key).alias("other"), F.col(vector).cast("array<double>").alias("v"), F.expr("monotonically_increasing_id() div 1024").alias("group"))
+    grouped = others.groupBy("group").agg(F.collect_list(F.struct("other", "v")).alias("vs"))
+    met = grouped.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(packed, "block")
+    kinds = [df.schema[key].dataType.simpleString() for df in (queries, vectors)]
+    return met.select("qs", "vs").mapInArrow(_products, f"query {kinds[0]}, other {kinds[1]}, dot double")
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            (query, q), (other, v) = (_matrix(batch.column(c)[i].values) for c in (0, 1))
+            for at in {len(x) for x in q} & {len(x) for x in v}:
+                a, b = ([k for k, x in enumerate(m) if len(x) == at] for m in (q, v))
+                dots = np.array([q[k] for k in a]).reshape(-1, at) @ np.array([v[k] for k in b]).reshape(-1, at).T
+                names = [query.take(pa.array(np.repeat(a, len(b)))), other.take(pa.array(np.tile(b, len(a))))]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(dots.ravel())], names=["query", "other", "dot"])
+
+
+def _matrix(rows: pa.StructArray) -> tuple[pa.Array, list[np.ndarray]]:
+    """Keys and vectors; a null in a vector counts as nan."""
+    lists = rows.field(1)
+    flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return rows.field(0), [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 def size_matrix(sizes: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def _clean(x: str) -> str:
 
 
 def _dataset(name: str, key: str, fields: str) -> str:
-    return f"""(SELECT try_cast(regexp_replace(k, '\\D', '', 'g') AS BIGINT) AS entity, * EXCLUDE (k) FROM (
+    return f"""(SELECT try_cast(regexp_replace(regexp_replace(k, '\\.0+\\s*$', ''), '\\D', '', 'g') AS BIGINT) AS entity, * EXCLUDE (k) FROM (
   SELECT rid, max({key}::VARCHAR) AS k, max(post) AS post, {', '.join(f'max({f}) AS {f}' for f in fields.split())} FROM {name} WHERE rid IS NOT NULL GROUP BY rid))"""
 
 
@@ -65,6 +65,13 @@ allposts AS (SELECT 'birth_year' AS ds, entity, rid, post FROM b UNION ALL SELEC
 sided AS (SELECT corpus, p.entity, post, rid, CASE WHEN ds = df1 THEN 0 ELSE 1 END AS side FROM pairs p JOIN allposts a ON a.entity = p.entity AND a.ds IN (df1, df2) WHERE post IS NOT NULL),
 mposts AS (SELECT corpus, entity, post, min((side, rid)) AS ord FROM sided GROUP BY corpus, entity, post)"""
 
+_KEYS = {"birth_year": "auhtor_ID", "nationality": '"author_ID "', "political_leaning": "author_ID"}
+_PAIRWISE = "WITH " + ", ".join(
+    f"""k{i} AS MATERIALIZED (SELECT DISTINCT entity FROM (SELECT try_cast(regexp_replace(regexp_replace(max({key}::VARCHAR), '\\.0+\\s*$', ''), '\\D', '', 'g') AS BIGINT) AS entity
+  FROM {name} WHERE rid IS NOT NULL GROUP BY rid) WHERE entity IS NOT NULL)""" for i, (name, key) in enumerate(_KEYS.items())
+) + """ SELECT 'b_y+n' AS corpus, 'birth_year' AS df1, 'nationality' AS df2, entity FROM k0 JOIN k1 USING (entity)
+UNION ALL SELECT 'b_y+p_l', 'birth_year', 'political_leaning', entity FROM k0 JOIN k2 USING (entity) UNION ALL SELECT 'n+p_l', 'nationality', 'political_leaning', entity FROM k1 JOIN k2 USING (entity)"""
+
 _FIELDS = {"political_leaning": ("author_ID", "political_leaning attrs posted_at"), "birth_year": ("auhtor_ID", "birth_year posted_at"), "nationality": ('"author_ID "', "nationality gender posted_at")}
 _CELLS = "".join(f",\nwhole_{n} AS {_dataset(n, key, fields)}" for n, (key, fields) in _FIELDS.items()) + ",\ncells AS (" + "\n  UNION ALL ".join(
     f"SELECT '{n}' AS ds, entity, '{c}' AS field, {c}::VARCHAR AS value, rid FROM whole_{n} WHERE entity IS NOT NULL" for n, (_, fields) in _FIELDS.items() for c in ["post", *fields.split()]
@@ -93,10 +100,12 @@ FROM sizes LEFT JOIN (
 
 _NGRAMS = f"WITH {_corpus()}{_POS}, grams AS ({' UNION ALL '.join(_ngrams(n) for n in (1, 2, 3))})"
 
+#: Windows as they are defined: the last token of each window with the number of different tokens in it.
 _MATTR = """,
-prev AS (SELECT corpus, tok, gpos AS i, coalesce(lag(gpos) OVER (PARTITION BY corpus, tok ORDER BY gpos), -1) AS p FROM pos),
-mattr AS (SELECT corpus, CASE WHEN n < 100 THEN count(DISTINCT tok) / n ELSE sum(greatest(0, least(i, n - 100) - greatest(p + 1, i - 99, 0) + 1)) / (100.0::DOUBLE * (n - 99)) END AS mattr
-  FROM prev JOIN sizes USING (corpus) GROUP BY corpus, n)"""
+listed_ AS (SELECT corpus, list(tok ORDER BY gpos) AS l FROM pos GROUP BY corpus),
+starts AS (SELECT corpus, unnest(range(1, greatest(1, len(l) - 99) + 1)) AS i FROM listed_),
+windows AS (SELECT corpus, len(list_distinct(l[i:i + 99])) / least(100, len(l)) AS t FROM starts JOIN listed_ USING (corpus)),
+mattr AS (SELECT corpus, avg(t) AS mattr FROM windows GROUP BY corpus)"""
 
 _ZIPF = """,
 ranks AS (SELECT corpus, c, row_number() OVER (PARTITION BY corpus ORDER BY c DESC, tok) AS rank FROM freq),
@@ -185,11 +194,13 @@ SELECT corpus, round(mu, 5) AS mean, round(med, 5) AS median, top AS max, round(
 FROM freq GROUP BY corpus""",
     "vocabulary_richness": f"""WITH {_corpus()}{_POS}{_STATS}{_MATTR} SELECT corpus, n_tokens AS total_tokens, vocab_size AS unique_tokens, round(ttr, 6) AS ttr, round(root_ttr, 6) AS root_ttr,
   round(log_ttr, 6) AS log_ttr, round(hapax_ratio, 6) AS hapax_ratio, round(yules_k, 6) AS yules_k, round(simpsons_d, 6) AS simpsons_d, round(entropy, 6) AS entropy,
-  round(avg_word_len, 6) AS avg_word_len, round(mattr, 6) AS mattr FROM stats JOIN mattr USING (corpus)""",
+  round(norm_entropy, 6) AS norm_entropy, round(avg_word_len, 6) AS avg_word_len, round(mattr, 6) AS mattr FROM stats JOIN mattr USING (corpus)""",
     "clean_text_fast": f"SELECT doc_id, {_clean('text')} AS cleaned FROM documents",
     "text_cleaner_no_squeeze": f"""SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[^{_SPACE}]') THEN {_strip(f'''regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(
   regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '(?:https?://|www\\.)[$-_a-z!]+', ' ', 'g'), '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{{2,}}\\b', ' ', 'g'),
   '@[\\p{{L}}\\p{{M}}\\p{{N}}_]+', ' ', 'g'), '#[\\p{{L}}\\p{{M}}\\p{{N}}_]+', ' ', 'g')), '[{_SPACE}]+', ' ', 'g')''')} ELSE '' END AS cleaned FROM documents""",
+    "text_ascii": "SELECT doc_id, regexp_replace(strip_accents(nfc_normalize(coalesce(text, ''))), '[^\\x00-\\x7F]', '', 'g') AS cleaned FROM documents",
+    "text_flattened": "SELECT doc_id, coalesce(array_to_string(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> ''), ' '), '') AS flat FROM documents",
     "language_heuristic": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), r AS (SELECT doc_id, length(t) AS n, length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g'))::DOUBLE AS a FROM d)
 SELECT doc_id, CASE WHEN n < 10 THEN 'unknown' WHEN a / n > 0.9 THEN 'en' WHEN a / n > 0.7 THEN 'mixed' ELSE 'other' END AS guess FROM r""",
     "sentence_counts": f"SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '[.!?]+'), lambda s: regexp_matches(s, '[^{_SPACE}]'))) AS n_sentences FROM documents",
@@ -223,6 +234,7 @@ SELECT corpus, rank, c, round(top / pow(rank, zipf_exponent), 4) AS expected FRO
     "zipf_summary": f"""WITH {_corpus()}{_ZIPF} SELECT count(*) AS n_corpora, sum((abs(zipf_exponent - 1) < 0.3)::INT)::BIGINT AS n_near_one, round(avg(zipf_exponent), 6) AS mean_exponent,
   round(stddev_pop(zipf_exponent), 6) AS std_exponent FROM zipf""",
     "heaps_curve": f"WITH {_corpus()}{_POS}{_HEAPS} SELECT corpus, corpus_size, vocab_size FROM curve",
+    "heaps_theory": f"WITH {_corpus()}{_POS}{_HEAPS} SELECT corpus, corpus_size, vocab_size, round(heaps_k * pow(corpus_size, heaps_beta), 3) AS expected FROM curve JOIN heaps USING (corpus)",
     "heaps_params": f"WITH {_corpus()}{_POS}{_HEAPS} SELECT corpus, round(heaps_k, 5) AS heaps_k, round(heaps_beta, 5) AS heaps_beta, heaps_beta > 0.3 AND heaps_beta < 0.8 AS plausible FROM heaps",
     "burstiness_word": f"WITH {_corpus()}{_POS}{_BURST} SELECT corpus, tok, c, round(burstiness, 6) AS burstiness FROM burst WHERE tok IN ('the', 'und', 'que', 'brother')",
     "avg_burstiness": f"""WITH {_corpus()}{_POS}{_BURST}, m AS (SELECT corpus, avg(burstiness) AS a FROM burst WHERE c >= 5 GROUP BY corpus)
@@ -247,7 +259,7 @@ dot AS (SELECT a.corpus AS c1, b.corpus AS c2, sum(a.w * b.w) AS d FROM weights
 SELECT c1, c2, round(coalesce(d, 0), 6) AS similarity FROM every LEFT JOIN dot USING (c1, c2)""",
     "embedding_dot": """SELECT q.vec_id AS query, v.vec_id AS other, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 4) AS dot
 FROM embeddings q JOIN embeddings v ON true WHERE q.vec_id % 100 = 0""",
-    "pairwise_merge": f"WITH {_SETS} SELECT corpus, df1, df2, entity FROM pairs",
+    "pairwise_merge": _PAIRWISE,
     "collapse_entities": f"""WITH {_SETS} SELECT 'political_leaning' AS dataset, entity, 'political_leaning' AS field, political_leaning AS value, min(rid) AS first FROM pl WHERE entity IS NOT NULL GROUP BY ALL
 UNION ALL SELECT 'political_leaning', entity, 'attrs', attrs, min(rid) FROM pl WHERE entity IS NOT NULL GROUP BY ALL UNION ALL SELECT 'birth_year', entity, 'birth_year', birth_year::VARCHAR, min(rid) FROM b WHERE entity IS NOT NULL GROUP BY ALL
 UNION ALL SELECT 'nationality', entity, 'nationality', nationality, min(rid) FROM n WHERE entity IS NOT NULL GROUP BY ALL UNION ALL SELECT 'nationality', entity, 'gender', gender, min(rid) FROM n WHERE entity IS NOT NULL GROUP BY ALL""",

@@ -138,6 +138,18 @@ def text_cleaner_no_squeeze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("doc_id", T.Cleaner(ascii=False, repeats=False, hashtags=True)(F.col("text")).alias("cleaned"))
 
 
+@query
+def text_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts taken apart into lines of words, empty words null, and put together again."""
+    lines = F.transform(F.split(F.col("text"), "\n"), lambda x: F.transform(F.split(x, " "), lambda w: F.nullif(w, F.lit(""))))
+    return texts(spark, sf_dir).select("doc_id", T.flattened(lines).alias("flat"))
+
+
+@query
+def text_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("doc_id", T.ascii_only(T.full(F.col("text"))).alias("cleaned"))
+
+
 @query
 def language_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("doc_id", T.language_guess(F.col("text")).alias("guess"))
@@ -226,6 +238,11 @@ def heaps_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.heaps_curve(pos(spark, sf_dir), step=200).drop("chunk")
 
 
+@query
+def heaps_theory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(M.heaps_theory(M.heaps_curve(pos(spark, sf_dir), step=200)).drop("chunk"), 3)
+
+
 @query
 def heaps_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = M.heaps_fit(M.heaps_curve(pos(spark, sf_dir), step=200))
