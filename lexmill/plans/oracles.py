@@ -100,11 +100,10 @@ FROM sizes LEFT JOIN (
 
 _NGRAMS = f"WITH {_corpus()}{_POS}, grams AS ({' UNION ALL '.join(_ngrams(n) for n in (1, 2, 3))})"
 
-#: Windows as they are defined: the last token of each window with the number of different tokens in it.
+#: Windows as they are defined: each with the different tokens that stand in it.
 _MATTR = """,
-listed_ AS (SELECT corpus, list(tok ORDER BY gpos) AS l FROM pos GROUP BY corpus),
-starts AS (SELECT corpus, unnest(range(1, greatest(1, len(l) - 99) + 1)) AS i FROM listed_),
-windows AS (SELECT corpus, len(list_distinct(l[i:i + 99])) / least(100, len(l)) AS t FROM starts JOIN listed_ USING (corpus)),
+members AS (SELECT DISTINCT corpus, n, tok, unnest(range(greatest(gpos - 99, 0), least(gpos, greatest(n - 100, 0)) + 1)) AS start FROM pos JOIN sizes USING (corpus)),
+windows AS (SELECT corpus, start, count(*) / least(100, any_value(n)) AS t FROM members GROUP BY corpus, start),
 mattr AS (SELECT corpus, avg(t) AS mattr FROM windows GROUP BY corpus)"""
 
 _ZIPF = """,

@@ -12,9 +12,25 @@ MISSING = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None")
 KEY, MISSPELT = "author_ID", "auhtor_ID"
 
 
-def csv_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Every `*.csv` file directly in `folder` by its name without the ending, in order of name. All
-    columns are text; missing values are null."""
+#: What numbers and truth values look like in CSV files.
+WHOLE, NUMBER, TRUTH = r"^\s*[+-]?\d{1,18}\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$", r"^(True|False|TRUE|FALSE|true|false)$"
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """Text columns in the narrowest type that all their values fit: bigint, double, boolean or string; columns
+    without values stay text. One pass over the data for all columns."""
+    names = [c for c, t in df.dtypes if t == "string"]
+    if not names:
+        return df
+    kinds = (("bigint", WHOLE), ("double", NUMBER), ("boolean", TRUTH))
+    fits = df.agg(*(F.every(F.col(f"`{c}`").rlike(p)).alias(f"{i}_{k}") for i, c in enumerate(names) for k, p in kinds)).first()
+    found = {c: next((k for k, _ in kinds if fits[f"{i}_{k}"]), "string") for i, c in enumerate(names)}
+    return df.select(*(F.trim(F.col(f"`{c}`")).cast(found[c]).alias(c) if found.get(c, "string") != "string" else F.col(f"`{c}`") for c in df.columns))
+
+
+def csv_folder(spark: SparkSession, folder: str, infer: bool = False) -> dict[str, DataFrame]:
+    """Every `*.csv` file directly in `folder` by its name without the ending, in order of name. Missing
+    values are null. All columns are text, with `infer` they have the types their values fit (`typed`)."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
     names = sorted(s.getPath().toString() for s in listed if s.isFile() and s.getPath().getName().endswith(".csv"))
@@ -22,7 +38,8 @@ def csv_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     out = {}
     for name in names:
         df = normalise_header(spark.read.options(**options).csv(name))
-        out[name.rsplit("/", 1)[1][:-4]] = df.select(*(F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in df.columns))
+        text = df.select(*(F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in df.columns))
+        out[name.rsplit("/", 1)[1][:-4]] = typed(text) if infer else text
     return out
 
 

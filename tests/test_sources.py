@@ -11,6 +11,13 @@ def test_csv_folder(spark, tmp_path):
     assert [tuple(r) for r in got["b_set"].collect()] == [("12", 'a, "b"\nc'), (None, None)]
 
 
+def test_csv_folder_with_types(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("author_ID,n,x,flag,mixed,none\n1, 5,1.5,True,7,NA\n2,,2,false,a,\n3,-7,1e3,NaN,8,null\n")
+    df = csv_folder(spark, str(tmp_path), infer=True)["t"]
+    assert dict(df.dtypes) == {"author_ID": "bigint", "n": "bigint", "x": "double", "flag": "boolean", "mixed": "string", "none": "string"}
+    assert [tuple(r) for r in df.orderBy("author_ID").collect()] == [(1, 5, 1.5, True, "7", None), (2, None, 2.0, False, "a", None), (3, -7, 1000.0, None, "8", None)]
+
+
 def test_keys(spark):
     forms = ["u00000012", "U_00000012", " u0000 0012", "@u00000012", "12", "12.0", None, "none", ""]
     df = spark.createDataFrame([(f,) for f in forms], "k string")
