@@ -146,17 +146,18 @@ def _solve(texts: list[str], labels: np.ndarray, rng: np.random.Generator) -> Mo
     table = np.zeros((BUCKETS, len(picks)), np.float32)
     for j, i in enumerate(picks):
         table[found[ends[i] : ends[i + 1]], j] = 1 / sizes[i]
-    kernel = np.stack([table[found[a:b]].sum(0) / s for a, b, s in zip(ends[:-1], ends[1:], sizes)]).astype(np.float64)
-    values, vectors = np.linalg.eigh(kernel[picks])
+    kernel = np.stack([table[found[a:b]].sum(0) / s for a, b, s in zip(ends[:-1], ends[1:], sizes.astype(np.float32))])
+    values, vectors = np.linalg.eigh(kernel[picks].astype(np.float64))
     keep = values > 1e-6 * values[-1]
-    basis = vectors[:, keep] / np.sqrt(values[keep])
+    basis = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
     features = kernel @ basis
-    aims = (labels[:, None] == np.arange(len(LANGUAGES))).astype(float)
+    del kernel
+    aims = (labels[:, None] == np.arange(len(LANGUAGES))).astype(np.float32)
     weight = 1 / np.bincount(labels, minlength=len(LANGUAGES))[labels]
     weight *= len(labels) / weight.sum()
-    inner = features.T * weight
-    solved = np.linalg.solve(inner @ features + RIDGE * np.eye(features.shape[1]), inner @ aims)
-    return Model((table @ (basis @ solved).astype(np.float32)), 1.0)
+    inner = features.T * weight.astype(np.float32)
+    solved = np.linalg.solve((inner @ features).astype(np.float64) + RIDGE * np.eye(features.shape[1]), inner @ aims)
+    return Model(table @ (basis @ solved).astype(np.float32), 1.0)
 
 
 def variants(text: str, language: str) -> list[str]:
