@@ -8,7 +8,8 @@ separators are their anchors.
 
 The name list is incomplete, so names are learnt from the texts first (`learnt_names`): one pass counts
 how often each word stands behind a listed given name or a title, or before a listed family name.
-Words that mostly stand there, beside two different ones at least, are names. Finding itself is
+Words that stand there in `LEAST_SHARE` of their occurrences, beside two different ones at least, are
+names. Finding itself is
 row-local: no shuffle, one Python pass in Arrow batches. What is read on the driver (name list, learnt
 names, placeholders) has a bound; beyond it the operator refuses rather than leave names out.
 """
